@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import exact_dedup, mixing, quality, sharding
+from geoloom.llm import bpe, exact_dedup, licenses, mixing, quality, sharding, simhash, substrings, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,12 +37,34 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.query(_table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(_table(spark, sf_dir, "pages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(_table(spark, sf_dir, "documents"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.query(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_sharding": op2_sharding,
+        "op3_bpe": op3_bpe,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_urls": op7_urls,
+        "op8_simhash": op8_simhash,
+        "op9_substrings": op9_substrings,
+        "op10_token_files": op10_token_files,
     }
 
 
