@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.grids import AROUND, flood
-from geoloom.operators.filters import Z
 from geoloom.operators.terrain import _around
 from geoloom.plans.graph import accumulate, components, downstream, upstream
 from geoloom.plans.lineage import written
@@ -42,7 +41,7 @@ def d8_pointer(dem: Raster) -> Raster:
     """The steepest lower neighbour; the first in order on a tie."""
 
     def value(near) -> Column:
-        drops = F.array(*[F.struct((-(Z - v) / d).alias("s"), F.lit(i).alias("i")) for i, (v, d) in enumerate(near)])
+        drops = F.array(*[F.struct((-(F.col("z") - v) / d).alias("s"), F.lit(i).alias("i")) for i, (v, d) in enumerate(near)])
         best = F.array_min(F.filter(drops, lambda x: x["s"] < 0))
         return F.coalesce(F.pow(F.lit(2.0), best["i"]), F.lit(0.0))
 
@@ -51,18 +50,18 @@ def d8_pointer(dem: Raster) -> Raster:
 
 def rho8_pointer(dem: Raster, seed: int = 0) -> Raster:
     """D8 with the diagonal distance replaced by 1 / (2 - u) for a draw u of the cell and direction."""
-    n = neighbourhood(dem).filter(Z.isNotNull())
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
     drops = []
     for i, (dr, dc, at) in enumerate(AROUND):
         u = F.pmod(F.xxhash64("row", "col", F.lit(i), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-        drops.append(F.struct((-(Z - F.get("n", F.lit(at))) * (1 / (2 - u) if dr and dc else F.lit(1.0))).alias("s"), F.lit(i).alias("i")))
+        drops.append(F.struct((-(F.col("z") - F.get("n", F.lit(at))) * (1 / (2 - u) if dr and dc else F.lit(1.0))).alias("s"), F.lit(i).alias("i")))
     best = F.array_min(F.filter(F.array(*drops), lambda x: x["s"] < 0))
     return n.select("row", "col", F.coalesce(F.pow(F.lit(2.0), best["i"]), F.lit(0.0)).alias("z"))
 
 
 def fd8_pointer(dem: Raster) -> Raster:
     """The sum of the codes of all lower neighbours."""
-    return _around(dem, lambda near: sum((F.when(v < Z, float(1 << i)).otherwise(0.0) for i, (v, _) in enumerate(near)), F.lit(0.0)))
+    return _around(dem, lambda near: sum((F.when(v < F.col("z"), float(1 << i)).otherwise(0.0) for i, (v, _) in enumerate(near)), F.lit(0.0)))
 
 
 #: Facets of D-infinity: the straight and the diagonal neighbour (places in the 3x3 array), multiple and sign of the angle.
@@ -71,14 +70,14 @@ FACETS = [(5, 2, 0, 1), (1, 2, 1, -1), (1, 0, 1, 1), (3, 0, 2, -1), (3, 6, 2, 1)
 
 def dinf_pointer(dem: Raster, resolution: float = 1.0) -> Raster:
     """Direction of the steepest descent over eight triangular facets, degrees clockwise from north; -1 where there is none."""
-    n = neighbourhood(dem).filter(Z.isNotNull())
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
     facets = []
     for i, (e1, e2, a, s) in enumerate(FACETS):
         z1, z2 = F.get("n", F.lit(e1)), F.get("n", F.lit(e2))
-        s1, s2 = (Z - z1) / resolution, (z1 - z2) / resolution
+        s1, s2 = (F.col("z") - z1) / resolution, (z1 - z2) / resolution
         r = F.atan2(s2, s1)
         angle = F.when(r < 0, 0.0).when(r > pi / 4, pi / 4).otherwise(r)
-        drop = F.when(r < 0, s1).when(r > pi / 4, (Z - z2) / (resolution * sqrt(2))).otherwise(F.sqrt(s1 * s1 + s2 * s2))
+        drop = F.when(r < 0, s1).when(r > pi / 4, (F.col("z") - z2) / (resolution * sqrt(2))).otherwise(F.sqrt(s1 * s1 + s2 * s2))
         drop = F.when((s1 == 0) & (s2 == 0), 0.0).otherwise(drop)
         facets.append(F.when(z1.isNotNull() & z2.isNotNull(), F.struct((-drop).alias("s"), F.lit(i).alias("i"), (s * angle + a * pi / 2).alias("angle"))))
     best = F.array_min(F.filter(F.array(*facets), lambda f: f["s"] < 0))
@@ -90,7 +89,7 @@ def forest(pointer: Raster) -> DataFrame:
     """id, next (NULL where flow ends or leaves the grid) and step (length to next) of a pointer raster."""
     code = F.log2(F.col("z")).cast("int")
     dr, dc = (F.get(F.lit([a[k] for a in AROUND]), code) for k in (0, 1))
-    to = pointer.filter("z IS NOT NULL").select(cell_id().alias("id"), F.when(Z > 0, cell_id(F.col("row") + dr, F.col("col") + dc)).alias("next"), F.when(Z > 0, F.when((dr != 0) & (dc != 0), sqrt(2)).otherwise(1.0)).otherwise(0.0).alias("step"))
+    to = pointer.filter("z IS NOT NULL").select(cell_id().alias("id"), F.when(F.col("z") > 0, cell_id(F.col("row") + dr, F.col("col") + dc)).alias("next"), F.when(F.col("z") > 0, F.when((dr != 0) & (dc != 0), sqrt(2)).otherwise(1.0)).otherwise(0.0).alias("step"))
     there = to.select(F.col("id").alias("_i"))
     j = to.join(there, F.col("next") == F.col("_i"), "left")
     return j.select("id", F.col("_i").alias("next"), F.when(F.col("_i").isNotNull(), F.col("step")).otherwise(0.0).alias("step"))
@@ -155,7 +154,7 @@ def downslope_flowpath_length(pointer: Raster) -> Raster:
 
 def flow_length_diff(pointer: Raster) -> Raster:
     """Largest difference of downslope flow length to a neighbour."""
-    return _around(downslope_flowpath_length(pointer), lambda near: F.greatest(*[F.coalesce(F.abs(v - Z), F.lit(0.0)) for v, _ in near]))
+    return _around(downslope_flowpath_length(pointer), lambda near: F.greatest(*[F.coalesce(F.abs(v - F.col("z")), F.lit(0.0)) for v, _ in near]))
 
 
 def elev_above_pit(dem: Raster) -> Raster:
@@ -210,7 +209,7 @@ def trace_downslope_flowpaths(pointer: Raster, seeds: Raster) -> Raster:
 
 def snap_pour_points(points: DataFrame, accumulation: Raster, distance: int) -> DataFrame:
     """fid, row, col of the cell with the largest accumulation within ``distance`` cells; the nearest, then first on a tie."""
-    return _snap(points, accumulation, distance, lambda d: F.struct(-Z, d, F.col("r"), F.col("c")))
+    return _snap(points, accumulation, distance, lambda d: F.struct(-F.col("z"), d, F.col("r"), F.col("c")))
 
 
 def jenson_snap_pour_points(points: DataFrame, streams: Raster, distance: int) -> DataFrame:
@@ -222,7 +221,7 @@ def _snap(points: DataFrame, raster: Raster, distance: int, key) -> DataFrame:
     side = range(-distance, distance + 1)
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in side for b in side]))
     p = points.select("fid", F.col("row").alias("pr"), F.col("col").alias("pc"), near.alias("o")).select("fid", "pr", "pc", (F.col("pr") + F.col("o.a")).alias("r"), (F.col("pc") + F.col("o.b")).alias("c"))
-    cells = raster.select(F.col("row").alias("r"), F.col("col").alias("c"), "z").filter(Z.isNotNull())
+    cells = raster.select(F.col("row").alias("r"), F.col("col").alias("c"), "z").filter(F.col("z").isNotNull())
     d = (F.col("r") - F.col("pr")) * (F.col("r") - F.col("pr")) + (F.col("c") - F.col("pc")) * (F.col("c") - F.col("pc"))
     best = p.join(cells, ["r", "c"]).groupBy("fid").agg(F.min(key(d)).alias("k"), F.min_by(F.struct("r", "c"), key(d)).alias("to"))
     return points.select("fid", "row", "col").join(best, "fid", "left").select("fid", F.coalesce("to.r", "row").alias("row"), F.coalesce("to.c", "col").alias("col"))
@@ -233,20 +232,20 @@ def _snap(points: DataFrame, raster: Raster, distance: int, key) -> DataFrame:
 
 def fd8_edges(dem: Raster, exponent: float = 1.1, contour: bool = False) -> DataFrame:
     """src, dst, w: each cell's flow to its lower neighbours by slope to the power ``exponent`` (times contour length)."""
-    n = neighbourhood(dem).filter(Z.isNotNull())
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
     to = []
     for dr, dc, at in AROUND:
         d = sqrt(dr * dr + dc * dc)
         v = F.get("n", F.lit(at))
         width = (0.354 if dr and dc else 0.5) if contour else 1.0
-        to.append(F.when(v < Z, F.struct(cell_id(F.col("row") + dr, F.col("col") + dc).alias("dst"), (F.pow((Z - v) / d, F.lit(exponent)) * width).alias("w"))))
+        to.append(F.when(v < F.col("z"), F.struct(cell_id(F.col("row") + dr, F.col("col") + dc).alias("dst"), (F.pow((F.col("z") - v) / d, F.lit(exponent)) * width).alias("w"))))
     lower = n.select(cell_id().alias("src"), F.filter(F.array(*to), lambda x: x.isNotNull()).alias("to"))
     total = F.aggregate("to", F.lit(0.0), lambda a, x: a + x["w"])
     return lower.withColumn("total", total).select("src", F.explode("to").alias("e"), "total").select("src", "e.dst", (F.col("e.w") / F.col("total")).alias("w"))
 
 
 def _spread(dem: Raster, edges: DataFrame) -> Raster:
-    cells = dem.filter(Z.isNotNull()).select(cell_id().alias("id"), F.lit(1.0).alias("v"))
+    cells = dem.filter(F.col("z").isNotNull()).select(cell_id().alias("id"), F.lit(1.0).alias("v"))
     return _by_id(accumulate(cells, written(edges, "edges")), F.col("x"))
 
 
@@ -260,8 +259,8 @@ def quinn_flow_accumulation(dem: Raster, exponent: float = 1.0) -> Raster:
 
 def qin_flow_accumulation(dem: Raster, exponent: float = 10.0, max_slope: float = 45.0) -> Raster:
     """The exponent grows from 1.1 with the steepest slope, up to ``exponent`` at ``max_slope`` degrees."""
-    n = neighbourhood(dem).filter(Z.isNotNull())
-    drops = [((Z - F.get("n", F.lit(at))) / sqrt(dr * dr + dc * dc), cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in AROUND]
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
+    drops = [((F.col("z") - F.get("n", F.lit(at))) / sqrt(dr * dr + dc * dc), cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in AROUND]
     top = F.greatest(*[F.coalesce(s, F.lit(0.0)) for s, _ in drops])
     n = n.withColumn("p", (exponent - 1.1) * F.least(top / F.tan(F.radians(F.lit(max_slope))), F.lit(1.0)) + 1.1)
     to = [F.when(s > 0, F.struct(i.alias("dst"), F.pow(s, F.col("p")).alias("w"))) for s, i in drops]
@@ -272,8 +271,8 @@ def qin_flow_accumulation(dem: Raster, exponent: float = 10.0, max_slope: float
 
 def dinf_edges(pointer: Raster) -> DataFrame:
     """src, dst, w of a D-infinity pointer: the two neighbours on either side of the direction, by angle."""
-    k = F.floor(Z / 45.0).cast("int")
-    part = (Z - k * 45.0) / 45.0
+    k = F.floor(F.col("z") / 45.0).cast("int")
+    part = (F.col("z") - k * 45.0) / 45.0
     # compass octants from north, clockwise
     steps = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
     at = lambda j, c: F.get(F.lit([s[c] for s in steps]), j % 8)
@@ -300,7 +299,7 @@ def fill_depressions(dem: Raster, increment: float = 0.0, tile: int = TILE) -> R
     """
     n = neighbourhood(dem, tile=tile)
     edge = F.exists("n", lambda x: x.isNull())
-    state = written(n.filter(Z.isNotNull()).select("row", "col", "z", F.when(edge, F.col("z")).otherwise(float("inf")).alias("w")), "levels")
+    state = written(n.filter(F.col("z").isNotNull()).select("row", "col", "z", F.when(edge, F.col("z")).otherwise(float("inf")).alias("w")), "levels")
 
     def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         r, c = cells["row"].to_numpy(), cells["col"].to_numpy()
@@ -319,16 +318,16 @@ def fill_depressions(dem: Raster, increment: float = 0.0, tile: int = TILE) -> R
 
 def depth_in_sink(dem: Raster) -> Raster:
     f = fill_depressions(dem).withColumnRenamed("z", "f")
-    return dem.join(f, ["row", "col"]).select("row", "col", F.when(F.col("f") > Z, F.col("f") - Z).alias("z"))
+    return dem.join(f, ["row", "col"]).select("row", "col", F.when(F.col("f") > F.col("z"), F.col("f") - F.col("z")).alias("z"))
 
 
 def clump(raster: Raster, diagonal: bool = True, zero_background: bool = False) -> Raster:
     """Patches of equal neighbouring cells, numbered in row order."""
-    n = neighbourhood(raster).filter(Z.isNotNull())
+    n = neighbourhood(raster).filter(F.col("z").isNotNull())
     if zero_background:
         n = n.filter("z <> 0")
     steps = [s for s in AROUND if diagonal or not (s[0] and s[1])]
-    to = F.array(*[F.when(F.get("n", F.lit(at)) == Z, cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in steps])
+    to = F.array(*[F.when(F.get("n", F.lit(at)) == F.col("z"), cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in steps])
     cells = n.select(cell_id().alias("id"), F.filter(to, lambda x: x.isNotNull()).alias("to"))
     roots = components(cells.select("id"), cells.select(F.col("id").alias("a"), F.explode("to").alias("b")))
     from pyspark.sql import Window
@@ -341,4 +340,4 @@ def clump(raster: Raster, diagonal: bool = True, zero_background: bool = False)
 def sink(dem: Raster) -> Raster:
     """Depressions, each with a number of its own."""
     deep = depth_in_sink(dem)
-    return clump(deep.select("row", "col", F.when(Z.isNotNull(), 1.0).alias("z")))
+    return clump(deep.select("row", "col", F.when(F.col("z").isNotNull(), 1.0).alias("z")))

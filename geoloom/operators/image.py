@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.calculator import to_sql
 from geoloom.functions.grids import AROUND
-from geoloom.operators.filters import Z
 from geoloom.operators.stats import _with_cdf
 from geoloom.plans.stencil import neighbourhood
 
@@ -57,10 +56,10 @@ def image_stack_profile(bands: DataFrame, points: DataFrame) -> DataFrame:
 
 def find_patch_edge_cells(raster: Raster) -> Raster:
     """The value of cells with a neighbour of another value or none, else 0."""
-    n = neighbourhood(raster).filter(Z.isNotNull())
+    n = neighbourhood(raster).filter(F.col("z").isNotNull())
     near = F.array(*[F.get("n", F.lit(at)) for _, _, at in AROUND])
-    edge = F.exists(near, lambda v: v.isNull() | (v != Z))
-    return n.select("row", "col", F.when(edge, Z).otherwise(0.0).alias("z"))
+    edge = F.exists(near, lambda v: v.isNull() | (v != F.col("z")))
+    return n.select("row", "col", F.when(edge, F.col("z")).otherwise(0.0).alias("z"))
 
 
 def edge_proportion(raster: Raster) -> DataFrame:
@@ -80,35 +79,35 @@ def resample(raster: Raster, factor: float, method: str = "nearest") -> Raster:
     ends = lambda a, b: F.sequence((F.col(a) * factor).cast("int"), ((F.col(b) + 1) * factor - 1).cast("int"))
     fine = box.select(F.explode(ends("r0", "r1")).alias("row"), "c0", "c1").select("row", F.explode(ends("c0", "c1")).alias("col"))
     y, x = (F.col("row") + 0.5) / factor - 0.5, (F.col("col") + 0.5) / factor - 0.5
-    source = raster.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z").filter(Z.isNotNull())
+    source = raster.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z").filter(F.col("z").isNotNull())
     if method == "nearest":
         near = fine.withColumns({"sr": F.floor(y + 0.5).cast("int"), "sc": F.floor(x + 0.5).cast("int")})
         return near.join(source, ["sr", "sc"]).select("row", "col", "z")
     corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
     f = fine.withColumns({"y": y, "x": x, "o": corners}).withColumns({"sr": (F.floor("y") + F.col("o.a")).cast("int"), "sc": (F.floor("x") + F.col("o.b")).cast("int")})
     w = (1 - F.abs(F.col("y") - F.col("sr"))) * (1 - F.abs(F.col("x") - F.col("sc")))
-    return f.withColumn("w", w).join(source, ["sr", "sc"]).groupBy("row", "col").agg((F.sum(Z * F.col("w")) / F.sum("w")).alias("z"))
+    return f.withColumn("w", w).join(source, ["sr", "sc"]).groupBy("row", "col").agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z"))
 
 
 def mosaic(rasters: Sequence[Raster]) -> Raster:
     """All rasters on one grid; where several have a value the last one counts."""
     tagged = reduce(DataFrame.unionByName, [r.select("row", "col", "z", F.lit(i).alias("i")) for i, r in enumerate(rasters)])
-    return tagged.filter(Z.isNotNull()).groupBy("row", "col").agg(F.max_by("z", "i").alias("z"))
+    return tagged.filter(F.col("z").isNotNull()).groupBy("row", "col").agg(F.max_by("z", "i").alias("z"))
 
 
 def vignetting(raster: Raster, row: float, col: float, focal: float, n: float = 4.0) -> Raster:
     """Brightness corrected by cos(angle)^-n of the angle from the principal point."""
     d = F.sqrt((F.col("row") - row) * (F.col("row") - row) + (F.col("col") - col) * (F.col("col") - col))
-    return raster.select("row", "col", (Z / F.pow(F.cos(F.atan(d / focal)), F.lit(n))).alias("z"))
+    return raster.select("row", "col", (F.col("z") / F.pow(F.cos(F.atan(d / focal)), F.lit(n))).alias("z"))
 
 
 def find_parallel_flow(pointer: Raster, streams: Raster) -> Raster:
     """1 where a stream cell has a stream neighbour that flows the same way without being in line, else 0."""
     s = streams.filter("z > 0").select("row", "col")
-    n = neighbourhood(pointer.join(s.withColumn("on", F.lit(1)), ["row", "col"], "left").withColumn("z", F.when(F.col("on") == 1, Z)).drop("on"))
+    n = neighbourhood(pointer.join(s.withColumn("on", F.lit(1)), ["row", "col"], "left").withColumn("z", F.when(F.col("on") == 1, F.col("z"))).drop("on"))
     beside = F.lit(False)
     for i, (dr, dc, at) in enumerate(AROUND):
         v = F.get("n", F.lit(at))
-        in_line = (Z == float(1 << i)) | (Z == float(1 << ((i + 4) % 8)))
-        beside = beside | F.coalesce((v == Z) & ~in_line & (Z > 0), F.lit(False))
-    return n.filter(Z.isNotNull()).select("row", "col", beside.cast("double").alias("z"))
+        in_line = (F.col("z") == float(1 << i)) | (F.col("z") == float(1 << ((i + 4) % 8)))
+        beside = beside | F.coalesce((v == F.col("z")) & ~in_line & (F.col("z") > 0), F.lit(False))
+    return n.filter(F.col("z").isNotNull()).select("row", "col", beside.cast("double").alias("z"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.grids import AROUND
 from geoloom.functions.kernels import DX, DXX, DXY, DYY, DY
-from geoloom.operators.filters import MEAN, STD, Z, stats
+from geoloom.operators.filters import mean, std, stats
 from geoloom.plans.stencil import focal, neighbourhood
 
 Raster = DataFrame
@@ -21,13 +21,13 @@ def derivatives(dem: Raster, resolution: float = 1.0, z_factor: float = 1.0) ->
     The cell's value stands in for missing neighbours.
     """
     n = neighbourhood(dem, 2)
-    at = [F.coalesce(F.get("n", F.lit(i)), Z) * z_factor for i in range(25)]
+    at = [F.coalesce(F.get("n", F.lit(i)), F.col("z")) * z_factor for i in range(25)]
 
     def total(kernel: list[int], by: float) -> Column:
         return sum((at[i] * float(w) for i, w in enumerate(kernel) if w), F.lit(0.0)) / by
 
     g, g2 = resolution, resolution * resolution
-    return n.filter(Z.isNotNull()).select("row", "col", "z", total(DX, 420 * g).alias("p"), total(DY, 420 * g).alias("q"), total(DXX, 35 * g2).alias("r"), total(DXY, 100 * g2).alias("s"), total(DYY, 35 * g2).alias("t"))
+    return n.filter(F.col("z").isNotNull()).select("row", "col", "z", total(DX, 420 * g).alias("p"), total(DY, 420 * g).alias("q"), total(DXX, 35 * g2).alias("r"), total(DXY, 100 * g2).alias("s"), total(DYY, 35 * g2).alias("t"))
 
 
 #: name: expression of p, q, r, s and t.
@@ -83,8 +83,8 @@ def multidirectional_hillshade(dem: Raster, altitude: float = 45.0) -> Raster:
 def relative_aspect(dem: Raster, azimuth: float = 0.0) -> Raster:
     """Degrees between a cell's aspect and ``azimuth``; -1 where flat."""
     a = surface(dem, "aspect")
-    gap = F.abs(Z - azimuth) % 360
-    return a.select("row", "col", F.when(Z < 0, -1.0).when(gap > 180, 360 - gap).otherwise(gap).alias("z"))
+    gap = F.abs(F.col("z") - azimuth) % 360
+    return a.select("row", "col", F.when(F.col("z") < 0, -1.0).when(gap > 180, 360 - gap).otherwise(gap).alias("z"))
 
 
 # neighbours
@@ -94,7 +94,7 @@ def _around(dem: Raster, value) -> Raster:
     """value(list of (neighbour, distance)) on every cell with a value."""
     n = neighbourhood(dem)
     near = [(F.get("n", F.lit(i)), sqrt(dr * dr + dc * dc)) for dr, dc, i in AROUND]
-    return n.filter(Z.isNotNull()).select("row", "col", value(near).cast("double").alias("z"))
+    return n.filter(F.col("z").isNotNull()).select("row", "col", value(near).cast("double").alias("z"))
 
 
 def _count(near, test) -> Column:
@@ -102,28 +102,28 @@ def _count(near, test) -> Column:
 
 
 def num_downslope_neighbours(dem: Raster) -> Raster:
-    return _around(dem, lambda near: _count(near, lambda v: v < Z))
+    return _around(dem, lambda near: _count(near, lambda v: v < F.col("z")))
 
 
 def num_upslope_neighbours(dem: Raster) -> Raster:
-    return _around(dem, lambda near: _count(near, lambda v: v > Z))
+    return _around(dem, lambda near: _count(near, lambda v: v > F.col("z")))
 
 
 def find_no_flow_cells(dem: Raster) -> Raster:
     """1 where no neighbour is lower."""
-    return _around(dem, lambda near: F.when(_count(near, lambda v: v < Z) == 0, 1.0))
+    return _around(dem, lambda near: F.when(_count(near, lambda v: v < F.col("z")) == 0, 1.0))
 
 
 def ruggedness_index(dem: Raster) -> Raster:
     """Root mean square difference to the neighbours."""
     n = lambda near: _count(near, lambda v: v.isNotNull())
-    squares = lambda near: sum((F.coalesce((v - Z) * (v - Z), F.lit(0.0)) for v, _ in near), F.lit(0.0))
+    squares = lambda near: sum((F.coalesce((v - F.col("z")) * (v - F.col("z")), F.lit(0.0)) for v, _ in near), F.lit(0.0))
     return _around(dem, lambda near: F.when(n(near) > 0, F.sqrt(squares(near) / n(near))))
 
 
 def _steepest(near, sign: int, least: bool = False) -> Column:
     """Rise (or drop) to the neighbour with the steepest (or gentlest) slope; the first on a tie."""
-    ends = [F.struct(((v - Z) * sign / d * (1 if least else -1)).alias("k"), F.lit(i).alias("i"), ((v - Z) * sign).alias("dz")) for i, (v, d) in enumerate(near)]
+    ends = [F.struct(((v - F.col("z")) * sign / d * (1 if least else -1)).alias("k"), F.lit(i).alias("i"), ((v - F.col("z")) * sign).alias("dz")) for i, (v, d) in enumerate(near)]
     ok = F.filter(F.array(*ends), lambda s: (s["dz"] >= 0) if least else (s["dz"] > 0))
     return F.coalesce(F.array_min(ok)["dz"], F.lit(0.0))
 
@@ -143,15 +143,15 @@ def max_upslope_elev_change(dem: Raster) -> Raster:
 def fill_single_cell_pits(dem: Raster) -> Raster:
     """Cells below all neighbours rise to the lowest of them."""
     low = lambda near: F.least(*[v for v, _ in near])
-    return _around(dem, lambda near: F.when(Z < low(near), low(near)).otherwise(Z))
+    return _around(dem, lambda near: F.when(F.col("z") < low(near), low(near)).otherwise(F.col("z")))
 
 
 def find_ridges(dem: Raster) -> Raster:
     """1 where the neighbours to either side, along a row or a column, are lower."""
     n = neighbourhood(dem)
     at = lambda i: F.get("n", F.lit(i))
-    ridge = ((at(1) < Z) & (at(7) < Z)) | ((at(3) < Z) & (at(5) < Z))
-    return n.filter(Z.isNotNull()).select("row", "col", F.when(ridge, 1.0).otherwise(0.0).alias("z"))
+    ridge = ((at(1) < F.col("z")) & (at(7) < F.col("z"))) | ((at(3) < F.col("z")) & (at(5) < F.col("z")))
+    return n.filter(F.col("z").isNotNull()).select("row", "col", F.when(ridge, 1.0).otherwise(0.0).alias("z"))
 
 
 def pennock_landform_class(dem: Raster, slope: float = 3.0, prof: float = 0.1, plan: float = 0.0, resolution: float = 1.0) -> Raster:
@@ -160,10 +160,10 @@ def pennock_landform_class(dem: Raster, slope: float = 3.0, prof: float = 0.1, p
     1 convergent footslope, 2 divergent footslope, 3 convergent shoulder, 4 divergent shoulder,
     5 convergent backslope, 6 divergent backslope, 7 level; steep cells that fit none have no class.
     """
-    n = neighbourhood(dem).filter(Z.isNotNull())
-    ne, e, se, s, sw, w, nw, no = (F.coalesce(F.get("n", F.lit(i)), Z) for _, _, i in AROUND)
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
+    ne, e, se, s, sw, w, nw, no = (F.coalesce(F.get("n", F.lit(i)), F.col("z")) for _, _, i in AROUND)
     g = resolution
-    n = n.select("row", "col", ((e - w) / (2 * g)).alias("zx"), ((no - s) / (2 * g)).alias("zy"), ((e - 2 * Z + w) / (g * g)).alias("zxx"), ((no - 2 * Z + s) / (g * g)).alias("zyy"), ((-nw + ne + sw - se) / (4 * g * g)).alias("zxy"), ((nw - sw + 2 * (no - s) + ne - se) / (8 * g)).alias("fy"), ((se - sw + 2 * (e - w) + ne - nw) / (8 * g)).alias("fx"))
+    n = n.select("row", "col", ((e - w) / (2 * g)).alias("zx"), ((no - s) / (2 * g)).alias("zy"), ((e - 2 * F.col("z") + w) / (g * g)).alias("zxx"), ((no - 2 * F.col("z") + s) / (g * g)).alias("zyy"), ((-nw + ne + sw - se) / (4 * g * g)).alias("zxy"), ((nw - sw + 2 * (no - s) + ne - se) / (8 * g)).alias("fy"), ((se - sw + 2 * (e - w) + ne - nw) / (8 * g)).alias("fx"))
     n = n.withColumn("p", F.expr("zx * zx + zy * zy"))
     n = n.select("row", "col", "p", F.expr("degrees(atan(sqrt(fx * fx + fy * fy)))").alias("sl"), *[F.expr(f"CASE WHEN p > 0 THEN {x} END").alias(k) for k, x in (("pl", PENNOCK_PLAN), ("pr", PENNOCK_PROF))])
     value = F.expr(PENNOCK.format(slope=slope, prof=prof, plan=plan))
@@ -184,14 +184,14 @@ TRIANGLES = [(0, 1), (1, 2), (2, 5), (5, 8), (8, 7), (7, 6), (6, 3), (3, 0)]
 
 def surface_area_ratio(dem: Raster, resolution: float = 1.0) -> Raster:
     """Area of the eight facets from a cell half way to its neighbours over their planar area; facets with NoData are left out."""
-    n = neighbourhood(dem).filter(Z.isNotNull())
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
     at = [F.get("n", F.lit(i)) for i in range(9)]
     g = resolution
 
     def area(i: int, j: int) -> Column:
         side = lambda a, b, d: F.sqrt((a - b) * (a - b) + d * d) / 2
         far = lambda k: g * sqrt(2) if k in (0, 2, 6, 8) else g
-        a, b, c = side(Z, at[i], far(i)), side(Z, at[j], far(j)), side(at[i], at[j], g)
+        a, b, c = side(F.col("z"), at[i], far(i)), side(F.col("z"), at[j], far(j)), side(at[i], at[j], g)
         h = (a + b + c) / 2
         return F.sqrt(F.greatest(F.lit(0.0), h * (h - a) * (h - b) * (h - c)))
 
@@ -203,36 +203,36 @@ def surface_area_ratio(dem: Raster, resolution: float = 1.0) -> Raster:
 
 
 def _focal(dem: Raster, x: int, y: int, value: Column) -> Raster:
-    return stats(dem, x, y).filter(Z.isNotNull()).select("row", "col", value.alias("z"))
+    return stats(dem, x, y).filter(F.col("z").isNotNull()).select("row", "col", value.alias("z"))
 
 
 def dev_from_mean_elev(dem: Raster, x: int = 11, y: int = 11) -> Raster:
-    return _focal(dem, x, y, F.when(STD > 0, (Z - MEAN) / STD).otherwise(0.0))
+    return _focal(dem, x, y, F.when(std() > 0, (F.col("z") - mean()) / std()).otherwise(0.0))
 
 
 def diff_from_mean_elev(dem: Raster, x: int = 11, y: int = 11) -> Raster:
-    return _focal(dem, x, y, Z - MEAN)
+    return _focal(dem, x, y, F.col("z") - mean())
 
 
 def percent_elev_range(dem: Raster, x: int = 3, y: int = 3) -> Raster:
     span = F.col("hi") - F.col("lo")
-    return _focal(dem, x, y, F.when(span > 0, (Z - F.col("lo")) / span * 100).otherwise(0.0))
+    return _focal(dem, x, y, F.when(span > 0, (F.col("z") - F.col("lo")) / span * 100).otherwise(0.0))
 
 
 def relative_topographic_position(dem: Raster, x: int = 11, y: int = 11) -> Raster:
-    value = F.when(Z < MEAN, (Z - MEAN) / (MEAN - F.col("lo"))).when(Z > MEAN, (Z - MEAN) / (F.col("hi") - MEAN)).otherwise(0.0)
+    value = F.when(F.col("z") < mean(), (F.col("z") - mean()) / (mean() - F.col("lo"))).when(F.col("z") > mean(), (F.col("z") - mean()) / (F.col("hi") - mean())).otherwise(0.0)
     return _focal(dem, x, y, value)
 
 
 def standard_deviation_of_slope(dem: Raster, x: int = 11, y: int = 11) -> Raster:
-    return _focal(slope(dem), x, y, STD)
+    return _focal(slope(dem), x, y, std())
 
 
 def scale_sweep(dem: Raster, scales: list[int], value: Column, by: Column) -> DataFrame:
     """row, col, z, scale: of one value for each window size (2·scale+1) the one with the largest ``by``; the first on a tie."""
     out = None
     for r in scales:
-        one = stats(dem, 2 * r + 1, 2 * r + 1).filter(Z.isNotNull()).select("row", "col", value.alias("v"), F.lit(r).alias("scale"))
+        one = stats(dem, 2 * r + 1, 2 * r + 1).filter(F.col("z").isNotNull()).select("row", "col", value.alias("v"), F.lit(r).alias("scale"))
         out = one if out is None else out.union(one)
     key = F.struct(-by.cast("double"), F.col("scale"), F.col("v"))
     best = out.groupBy("row", "col").agg(F.min(key).alias("k"))
@@ -240,11 +240,11 @@ def scale_sweep(dem: Raster, scales: list[int], value: Column, by: Column) -> Da
 
 
 def max_elevation_deviation(dem: Raster, scales: list[int]) -> DataFrame:
-    return scale_sweep(dem, scales, F.when(STD > 0, (Z - MEAN) / STD).otherwise(0.0), F.abs("v"))
+    return scale_sweep(dem, scales, F.when(std() > 0, (F.col("z") - mean()) / std()).otherwise(0.0), F.abs("v"))
 
 
 def max_difference_from_mean(dem: Raster, scales: list[int]) -> DataFrame:
-    return scale_sweep(dem, scales, Z - MEAN, F.abs("v"))
+    return scale_sweep(dem, scales, F.col("z") - mean(), F.abs("v"))
 
 
 def max_elev_dev_signature(dem: Raster, sites: DataFrame, scales: list[int]) -> DataFrame:
@@ -265,7 +265,7 @@ def normals(dem: Raster) -> DataFrame:
 
 def _mean_normal(dem: Raster, size: int) -> DataFrame:
     r = max(size, 3) // 2
-    return focal(normals(dem), r, r, {k: F.col(c) for k, c in (("sx", "nx"), ("sy", "ny"), ("sz", "nz"))} | {"n": F.when(Z.isNotNull(), 1)}, {}, {})
+    return focal(normals(dem), r, r, {k: F.col(c) for k, c in (("sx", "nx"), ("sy", "ny"), ("sz", "nz"))} | {"n": F.when(F.col("z").isNotNull(), 1)}, {}, {})
 
 
 def spherical_std_dev_of_normals(dem: Raster, size: int = 11) -> Raster:
@@ -280,26 +280,26 @@ def circular_variance_of_aspect(dem: Raster, size: int = 11) -> Raster:
     flat = F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q"))
     unit = d.select("row", "col", "z", *[F.when(flat > 0, F.col(c) / flat).otherwise(0.0).alias(k) for c, k in (("p", "ux"), ("q", "uy"))])
     r = max(size, 3) // 2
-    f = focal(unit, r, r, {"sx": F.col("ux"), "sy": F.col("uy"), "n": F.when(Z.isNotNull(), 1)}, {}, {})
+    f = focal(unit, r, r, {"sx": F.col("ux"), "sy": F.col("uy"), "n": F.when(F.col("z").isNotNull(), 1)}, {}, {})
     return f.select("row", "col", (1 - F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n")).alias("z"))
 
 
 def elev_relative_to_min_max(dem: Raster) -> Raster:
     span = dem.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))  # one row
-    return dem.crossJoin(F.broadcast(span)).select("row", "col", ((Z - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100).alias("z"))
+    return dem.crossJoin(F.broadcast(span)).select("row", "col", ((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100).alias("z"))
 
 
 def elev_relative_to_watershed_min_max(dem: Raster, watersheds: Raster) -> Raster:
     j = dem.join(watersheds.select("row", "col", F.col("z").alias("basin")), ["row", "col"])
     span = j.filter("basin IS NOT NULL").groupBy("basin").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    return j.join(span, "basin").select("row", "col", F.when(F.col("hi") > F.col("lo"), (Z - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100).otherwise(0.0).alias("z"))
+    return j.join(span, "basin").select("row", "col", F.when(F.col("hi") > F.col("lo"), (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100).otherwise(0.0).alias("z"))
 
 
 def hypsometric_analysis(dem: Raster, bins: int = 100) -> DataFrame:
     """bin, elevation, percent: share of the area at or above each of ``bins`` levels."""
     span = dem.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    b = F.least(F.lit(bins - 1), F.floor((Z - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    counts = dem.filter(Z.isNotNull()).crossJoin(F.broadcast(span)).groupBy(b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))  # ``bins`` rows
+    b = F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+    counts = dem.filter(F.col("z").isNotNull()).crossJoin(F.broadcast(span)).groupBy(b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))  # ``bins`` rows
     from pyspark.sql import Window
 
     above = F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
@@ -311,5 +311,5 @@ def slope_vs_elevation(dem: Raster, bins: int = 100) -> DataFrame:
     """bin, n, slope: mean slope by elevation."""
     s = slope(dem).select("row", "col", F.col("z").alias("slope"))
     span = dem.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    b = F.least(F.lit(bins - 1), F.floor((Z - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+    b = F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
     return dem.join(s, ["row", "col"]).crossJoin(F.broadcast(span)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("slope"))

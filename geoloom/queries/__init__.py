@@ -1,6 +1,6 @@
 """All registered queries but those of the training-data subpackage."""
 
-from geoloom.queries import distance, filters, hydro, image, local, points, stats, terrain, vector  # noqa: F401
+from geoloom.queries import distance, filters, hydro, image, local, more, points, stats, terrain, vector  # noqa: F401
 from geoloom.queries.base import REGISTERED
 
 __all__ = ["REGISTERED"]
