@@ -19,7 +19,7 @@ from geoloom.functions.grids import AROUND, flood
 from geoloom.operators.terrain import _around
 from geoloom.plans.graph import accumulate, components, downstream, upstream
 from geoloom.plans.lineage import written
-from geoloom.plans.stencil import TILE, neighbourhood, tiled
+from geoloom.plans.stencil import TILE, dense, neighbourhood, tiled
 
 Raster = DataFrame
 
@@ -154,7 +154,7 @@ def downslope_flowpath_length(pointer: Raster) -> Raster:
 
 def flow_length_diff(pointer: Raster) -> Raster:
     """Largest difference of downslope flow length to a neighbour."""
-    return _around(downslope_flowpath_length(pointer), lambda near: F.greatest(*[F.coalesce(F.abs(v - F.col("z")), F.lit(0.0)) for v, _ in near]))
+    return _around(dense(downslope_flowpath_length(pointer)), lambda near: F.greatest(*[F.coalesce(F.abs(v - F.col("z")), F.lit(0.0)) for v, _ in near]))
 
 
 def elev_above_pit(dem: Raster) -> Raster:
@@ -339,5 +339,5 @@ def clump(raster: Raster, diagonal: bool = True, zero_background: bool = False)
 
 def sink(dem: Raster) -> Raster:
     """Depressions, each with a number of its own."""
-    deep = depth_in_sink(dem)
+    deep = dense(depth_in_sink(dem))
     return clump(deep.select("row", "col", F.when(F.col("z").isNotNull(), 1.0).alias("z")))

@@ -18,16 +18,16 @@ Raster = DataFrame
 def derivatives(dem: Raster, resolution: float = 1.0, z_factor: float = 1.0) -> DataFrame:
     """row, col, z and p, q, r, s, t: derivatives of x, y, xx, xy and yy of a polynomial over 5x5 cells.
 
-    The cell's value stands in for missing neighbours.
+    The cell's value stands in for missing neighbours; NoData cells stay, with NULLs.
     """
     n = neighbourhood(dem, 2)
     at = [F.coalesce(F.get("n", F.lit(i)), F.col("z")) * z_factor for i in range(25)]
 
     def total(kernel: list[int], by: float) -> Column:
-        return sum((at[i] * float(w) for i, w in enumerate(kernel) if w), F.lit(0.0)) / by
+        return F.when(F.col("z").isNotNull(), sum((at[i] * float(w) for i, w in enumerate(kernel) if w), F.lit(0.0)) / by)
 
     g, g2 = resolution, resolution * resolution
-    return n.filter(F.col("z").isNotNull()).select("row", "col", "z", total(DX, 420 * g).alias("p"), total(DY, 420 * g).alias("q"), total(DXX, 35 * g2).alias("r"), total(DXY, 100 * g2).alias("s"), total(DYY, 35 * g2).alias("t"))
+    return n.select("row", "col", "z", total(DX, 420 * g).alias("p"), total(DY, 420 * g).alias("q"), total(DXX, 35 * g2).alias("r"), total(DXY, 100 * g2).alias("s"), total(DYY, 35 * g2).alias("t"))
 
 
 #: name: expression of p, q, r, s and t.
@@ -47,9 +47,13 @@ SURFACE["maximal_curvature"] = f"({SURFACE['mean_curvature']}) + sqrt(greatest(0
 FACING = f"CASE WHEN p <> 0 THEN {pi} - atan(q / p) + {pi / 2} * sign(p) ELSE {pi} END"
 
 
+def _valid(value: Column) -> Column:
+    return F.when(F.col("z").isNotNull(), value).alias("z")
+
+
 def surface(dem: Raster, name: str, resolution: float = 1.0, z_factor: float = 1.0) -> Raster:
     """A parameter of :data:`SURFACE`."""
-    return derivatives(dem, resolution, z_factor).select("row", "col", F.expr(SURFACE[name]).alias("z"))
+    return derivatives(dem, resolution, z_factor).select("row", "col", _valid(F.expr(SURFACE[name])))
 
 
 def slope(dem: Raster, units: str = "degrees", resolution: float = 1.0, z_factor: float = 1.0) -> Raster:
@@ -68,7 +72,7 @@ def light(azimuth: float, altitude: float) -> str:
 
 def hillshade(dem: Raster, azimuth: float = 315.0, altitude: float = 30.0, z_factor: float = 1.0) -> Raster:
     """Illumination of 0 to 32767."""
-    return derivatives(dem, z_factor=z_factor).select("row", "col", F.round(F.expr(light(azimuth, altitude)) * 32767).alias("z"))
+    return derivatives(dem, z_factor=z_factor).select("row", "col", _valid(F.round(F.expr(light(azimuth, altitude)) * 32767)))
 
 
 #: Weights of the azimuths of a multidirectional hillshade.
@@ -77,7 +81,7 @@ MULTI = {225.0: 0.1, 270.0: 0.4, 315.0: 0.4, 360.0: 0.1}
 
 def multidirectional_hillshade(dem: Raster, altitude: float = 45.0) -> Raster:
     value = sum((F.expr(light(a, altitude)) * w for a, w in MULTI.items()), F.lit(0.0))
-    return derivatives(dem).select("row", "col", F.round(value * 32767).alias("z"))
+    return derivatives(dem).select("row", "col", _valid(F.round(value * 32767)))
 
 
 def relative_aspect(dem: Raster, azimuth: float = 0.0) -> Raster:
@@ -94,7 +98,7 @@ def _around(dem: Raster, value) -> Raster:
     """value(list of (neighbour, distance)) on every cell with a value."""
     n = neighbourhood(dem)
     near = [(F.get("n", F.lit(i)), sqrt(dr * dr + dc * dc)) for dr, dc, i in AROUND]
-    return n.filter(F.col("z").isNotNull()).select("row", "col", value(near).cast("double").alias("z"))
+    return n.select("row", "col", _valid(value(near).cast("double")))
 
 
 def _count(near, test) -> Column:
@@ -203,7 +207,7 @@ def surface_area_ratio(dem: Raster, resolution: float = 1.0) -> Raster:
 
 
 def _focal(dem: Raster, x: int, y: int, value: Column) -> Raster:
-    return stats(dem, x, y).filter(F.col("z").isNotNull()).select("row", "col", value.alias("z"))
+    return stats(dem, x, y).select("row", "col", _valid(value))
 
 
 def dev_from_mean_elev(dem: Raster, x: int = 11, y: int = 11) -> Raster:
@@ -271,17 +275,17 @@ def _mean_normal(dem: Raster, size: int) -> DataFrame:
 def spherical_std_dev_of_normals(dem: Raster, size: int = 11) -> Raster:
     """Angular spread of the normals, degrees."""
     mean = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")) / F.col("n")
-    return _mean_normal(dem, size).select("row", "col", F.degrees(F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(mean)))).alias("z"))
+    return _mean_normal(dem, size).select("row", "col", _valid(F.degrees(F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(mean))))))
 
 
 def circular_variance_of_aspect(dem: Raster, size: int = 11) -> Raster:
     """1 less the length of the mean direction of the slopes."""
     d = derivatives(dem)
     flat = F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q"))
-    unit = d.select("row", "col", "z", *[F.when(flat > 0, F.col(c) / flat).otherwise(0.0).alias(k) for c, k in (("p", "ux"), ("q", "uy"))])
+    unit = d.select("row", "col", "z", *[F.when(flat > 0, F.col(c) / flat).when(flat == 0, 0.0).alias(k) for c, k in (("p", "ux"), ("q", "uy"))])
     r = max(size, 3) // 2
     f = focal(unit, r, r, {"sx": F.col("ux"), "sy": F.col("uy"), "n": F.when(F.col("z").isNotNull(), 1)}, {}, {})
-    return f.select("row", "col", (1 - F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n")).alias("z"))
+    return f.select("row", "col", _valid(1 - F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n")))
 
 
 def elev_relative_to_min_max(dem: Raster) -> Raster:
@@ -312,4 +316,4 @@ def slope_vs_elevation(dem: Raster, bins: int = 100) -> DataFrame:
     s = slope(dem).select("row", "col", F.col("z").alias("slope"))
     span = dem.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     b = F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    return dem.join(s, ["row", "col"]).crossJoin(F.broadcast(span)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("slope"))
+    return dem.filter(F.col("z").isNotNull()).join(s, ["row", "col"]).crossJoin(F.broadcast(span)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("slope"))
