@@ -13,22 +13,28 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import table
 
-#: Ids of a block (more if one document has more) and of a file; words remembered by a worker.
-BLOCK, FILE, MEMO = 1 << 20, 1 << 26, 400_000
+#: Ids of a block (more if one document has more) and of a file, bytes of text worked on at once; words remembered by a worker.
+BLOCK, FILE, SLICE, MEMO = 1 << 20, 1 << 26, 1 << 24, 500_000
 END = 0
 
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: Marks that may follow a word's letters; the tokenizer parts the two.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts with other white space than single spaces and line ends, or with the characters that mark words here.
+_UNEVEN = "[\\x02\\x03\\x1c-\\x1f\\t\\r\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
 #: Separators that Python counts as white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -66,7 +72,8 @@ class Pieces:
     """Encodes with the tokenizers library, remembering the ids of pieces.
 
     A text is parted where no token can reach across: before a space that begins a
-    run of other characters, and around white space.
+    run of other characters, and around white space. A word new to the worker is parted further,
+    into letters and marks after them, and the library encodes each part once.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,20 +85,94 @@ class Pieces:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.end = np.array([END], self.kind).tobytes()
+        self.words: dict[str, bytes] = {}  # as :meth:`fast` marks them
+        self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # letters, and what isn't parted
+        self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 10_000):
+            out += [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
+        return out
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, parted into letters and marks after them."""
+        heads, marks = self.heads, self.marks
+        if len(heads) > 2 * MEMO:
+            heads.clear()
+        if len(marks) > MEMO:
+            marks.clear()
+            marks[""] = b""
+        parted = [h if (h := p.rstrip(_MARKS)).strip(" ").isalpha() else p for p in pieces]
+        fresh = list(set(parted).difference(heads))
+        heads.update(zip(fresh, self.whole(fresh), strict=True))
+        rest = [p[len(h) :] for p, h in zip(pieces, parted, strict=True)]
+        fresh = list(set(rest).difference(marks))
+        marks.update(zip(fresh, self.whole(fresh), strict=True))
+        return [heads[h] + marks[r] for h, r in zip(parted, rest, strict=True)]
+
+    def values(self, words: list[str]) -> list[bytes]:
+        """The ids of words that come after a space, or are marked: after a line end, at the start or the end of a text."""
+        memo = self.words
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [w for w in words if w not in memo]
+        first = ("\n", "\x02")
+        ids = self.learn([w[1:] if w[:1] in first else " " + w for w in new])
+        line = self.whole(["\n"])[0]
+        memo.update((w, line + x if w[:1] == "\n" else x) for w, x in zip(new, ids, strict=True))
+        memo["\x03"] = self.end
+        return list(map(memo.__getitem__, words))
+
+    def fast(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """All ids of texts with single spaces and line ends, in parts, and where each text ends.
+
+        Arrow parts the texts and numbers the distinct words; Python sees each of those once.
+        """
+        marked = pc.binary_join_element_wise("\x02", pc.replace_substring(texts, "\n", " \n"), " \x03", "")
+        parted = pc.split_pattern(marked, " ")
+        coded = parted.flatten().dictionary_encode()
+        values = self.values(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        starts = np.cumsum(lengths) - lengths
+        pool = np.frombuffer(b"".join(values), self.kind)
+        at = coded.indices.to_numpy()
+        out = []
+        for i in range(0, len(at), 1 << 18):
+            a = at[i : i + (1 << 18)]
+            n = lengths[a]
+            ends = np.cumsum(n)
+            out.append(pool[np.repeat(starts[a] - (ends - n), n) + np.arange(ends[-1])])
+        ends = np.cumsum(lengths[at])
+        return out, ends[parted.offsets.to_numpy()[1:] - 1]
+
+    def slow(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts."""
         parted = [None if _ODD.search(t) or any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        fresh = list({p for ps in parted if ps for p in ps if p not in self.memo})
-        for i in range(0, len(fresh), 10_000):
-            self.memo |= zip(fresh[i : i + 10_000], self.whole(fresh[i : i + 10_000]), strict=True)
-        known = self.memo.__getitem__
-        return [self.whole([t])[0] if ps is None else b"".join(map(known, ps)) for t, ps in zip(texts, parted, strict=True)]
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        new = list({p for ps in parted if ps for p in ps}.difference(self.pieces))
+        self.pieces.update(zip(new, self.learn(new), strict=True))
+        known = self.pieces.__getitem__
+        return [(self.whole([t])[0] if ps is None else b"".join(map(known, ps))) + self.end for t, ps in zip(texts, parted, strict=True)]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """Pieces of the work: which of the texts, and their ids as bytes with the end id."""
+        odd = pc.match_substring_regex(texts, _UNEVEN)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        rows = pa.array(np.arange(len(texts)))
+        some = rows.filter(pc.invert(odd))
+        if len(some):
+            ids, ends = self.fast(texts.take(some))
+            offsets = np.concatenate([[0], ends * self.kind.itemsize]).astype(np.int32)
+            yield some, pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(ids))])
+        some = rows.filter(odd)
+        if len(some):
+            yield some, pa.array(self.slow(texts.take(some).to_pylist()), pa.binary())
 
 
 @lru_cache(maxsize=4)
@@ -105,17 +186,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some SLICE bytes of text (more if one text has more)."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy().astype(np.int64)) // SLICE
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, ids (little-endian, 2 bytes each if the vocabulary allows) with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = pieces(path)
-        end = np.array([END], e.kind).tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                ids = [x + end for x in e.encode([t or "" for t in b.column("t").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // e.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            for b in _slices(whole):
+                for rows, ids in e.encode(pc.fill_null(b.column("t"), "")):
+                    n = pc.divide(pc.binary_length(ids).cast(pa.int64()), e.kind.itemsize)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), n, ids], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, ids binary")
 
