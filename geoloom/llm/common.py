@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -70,6 +71,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, as Spark keeps the shuffle files of plans until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def uniform(key: Column, salt: str, n: int) -> list[Column]:
     """``n`` independent whole numbers below 2**32 drawn from ``key``.
 

@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import release, table
 
 LENGTH, GRAM = 20, 6
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -68,100 +69,169 @@ def anchors(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return g[at[first]], at[first], first, count
 
 
+#: Bits of an anchor's hash; segments are told apart by 64 bits more.
+ANCHOR_BITS = np.uint64((1 << 48) - 1)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _segment(h: np.ndarray, first: int, count: int) -> int:
+    """Hash of the words that the windows of an anchor cover."""
+    return xxhash.xxh64_intdigest(h[first : first + count - 1 + LENGTH].tobytes()) - (1 << 63)
+
+
 def _seeds(docs: DataFrame) -> DataFrame:
-    """a (anchor hash), doc_id, k (hash of the text), at for every anchor of (doc_id, k, t)."""
+    """a (anchor), s (its segment), doc_id, at (place) for every anchor of (doc_id, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, d, at = [], [], []
+            a, s, d, at = [], [], [], []
             for i, t in enumerate(b.column("t").to_pylist()):
-                h, p, _, _ = anchors(_hashes(_words(t)))
-                a.append(h)
+                h = _hashes(_words(t))
+                g, p, first, count = anchors(h)
+                a.append(g & ANCHOR_BITS)
+                s.append(np.fromiter((_segment(h, f, c) for f, c in zip(first.tolist(), count.tolist(), strict=True)), np.int64, len(p)))
                 at.append(p)
                 d.append(np.full(len(p), i))
             if a:
                 rows = pa.array(np.concatenate(d))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(a)), b.column("doc_id").take(rows), b.column("k").take(rows), pa.array(np.concatenate(at).astype(np.int32))], ["a", "doc_id", "k", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(a)), pa.array(np.concatenate(s)), b.column("doc_id").take(rows), pa.array(np.concatenate(at).astype(np.int32))], ["a", "s", "doc_id", "at"])
+
+    return docs.select("doc_id", "t").mapInArrow(run, "a long, s long, doc_id long, at int")
+
+
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, t) with the text compressed, for exchanges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            z = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(z, pa.binary())], ["doc_id", "k", "z"])
 
-    return docs.mapInArrow(run, "a long, doc_id long, k long, at int")
+    return docs.mapInArrow(run, "doc_id long, k long, z binary")
+
+
+def _text(z: bytes | None) -> str | None:
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _extend(docs: DataFrame) -> DataFrame:
-    """Segments and results so far of (doc_id, k, t, at: places of repeated anchors or null).
+def _strike(words: list[bytes], cuts: list) -> tuple[int, list[bytes]]:
+    """How many words the spans in ``cuts`` cover, and the others."""
+    if not cuts:
+        return 0, words
+    change = np.zeros(len(words) + 1, np.int64)
+    at = np.asarray(cuts, np.int64)
+    np.add.at(change, at[:, 0], 1)
+    np.add.at(change, at[:, 1], -1)
+    gone = (np.cumsum(change[:-1]) > 0).tolist()
+    stay = [w for w, g in zip(words, gone, strict=True) if not g]
+    return len(words) - len(stay), stay
+
+
+_RESULT = "doc_id long, k long, n_words long, n_removed long, kept_sha256 string, kept string"
+_SPANS = pa.list_(pa.list_(pa.int32()))
+
 
-    One row of a document (s null) with n_words and the text if it has
-    repeated anchors, else the digest; and one row for each segment: s (its hash),
-    a (its anchor's hash), start, w (hashes of its windows).
+def _extend(docs: DataFrame, texts: bool) -> DataFrame:
+    """Results and segments of (doc_id, k, z, found: repeated anchors as at, a, open).
+
+    An anchor that has one segment everywhere (not open) and isn't its first
+    loses all its windows at once. A document without open anchors is done: its row
+    has the result. Others keep z and the cuts so far, and give a row for each
+    open anchor's segment: a, s, start, w (hashes of its windows).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, a, s, start, w, n_words, digest, kept = [], [], [], [], [], [], [], []
-            for i, (t, at) in enumerate(zip(b.column("t").to_pylist(), b.column("at").to_pylist(), strict=True)):
-                words = _words(t)
-                rows.append(i)
-                a.append(None)
-                s.append(None)
-                start.append(None)
-                w.append(None)
-                n_words.append(len(words))
-                digest.append(None if at else _digest(words))
-                kept.append(t if at else None)
-                if not at:
+            out: dict[str, list] = {c: [] for c in ("row", "n_words", "n_removed", "kept_sha256", "kept", "z", "cut", "a", "s", "start", "w")}
+
+            def put(i: int, out: dict[str, list] = out, **values: object) -> None:
+                for c, v in out.items():
+                    v.append(i if c == "row" else values.get(c))
+
+            for i, (z, found) in enumerate(zip(b.column("z").to_pylist(), b.column("found").to_pylist(), strict=True)):
+                words = _words(_text(z))
+                cuts, again = [], []
+                if found:
+                    h = _hashes(words)
+                    g, places, first, count = anchors(h)
+                    mine = {int(p): j for j, p in enumerate(places)}
+                    for f in found:
+                        j = mine.get(f["at"])
+                        if j is None or int(g[j] & ANCHOR_BITS) != f["a"]:  # of another text with this id
+                            continue
+                        if f["open"]:
+                            again.append(j)
+                        else:
+                            cuts.append([int(first[j]), int(first[j] + count[j]) - 1 + LENGTH])
+                if not again:
+                    n, stay = _strike(words, cuts)
+                    put(i, n_words=len(words), n_removed=n, kept_sha256=_digest(stay), kept=b" ".join(stay).decode("utf-8", "surrogatepass") if texts and n else None)
                     continue
-                h = _hashes(words)
-                g, places, first, count = anchors(h)
+                put(i, z=z, cut=cuts)
                 whole = _rolling(h, LENGTH).view(np.int64)
-                chosen = np.flatnonzero(np.isin(places, np.asarray(at)))
-                for j in chosen.tolist():
+                for j in again:
                     f, c = int(first[j]), int(count[j])
-                    rows.append(i)
-                    a.append(int(g[j].view(np.int64)))
-                    s.append(xxhash.xxh64_intdigest(h[f : f + c - 1 + LENGTH].tobytes()) - (1 << 63))
-                    start.append(f)
-                    w.append(whole[f : f + c])
-                    n_words.append(None)
-                    digest.append(None)
-                    kept.append(None)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("k").take(at), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(start, pa.int32()), pa.array(w, pa.list_(pa.int64())), pa.array(n_words, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-                ["doc_id", "k", "a", "s", "start", "w", "n_words", "digest", "t"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, k long, a long, s long, start int, w array<long>, n_words long, digest string, t string")
-
-
-def _strike(docs: DataFrame, texts: bool) -> DataFrame:
-    """Results of (doc_id, k, t, cut: starts of windows to remove)."""
+                    put(i, a=int(g[j] & ANCHOR_BITS), s=_segment(h, f, c), start=f, w=whole[f : f + c])
+            at = pa.array(out["row"], pa.int64())
+            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "z": pa.binary(), "cut": _SPANS, "a": pa.int64(), "s": pa.int64(), "start": pa.int32(), "w": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("k").take(at), *[pa.array(out[c], kind) for c, kind in kinds.items()]], ["doc_id", "k", *kinds])
+
+    return docs.mapInArrow(run, f"{_RESULT}, z binary, cut array<array<int>>, a long, s long, start int, w array<long>")
+
+
+def _finish(docs: DataFrame, texts: bool) -> DataFrame:
+    """Results of (doc_id, k, z, cut, late: more spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, removed, digest, left = [], [], [], []
-            for t, cut in zip(b.column("t").to_pylist(), b.column("cut").to_pylist(), strict=True):
-                words = _words(t)
-                change = np.zeros(len(words) + 1, np.int64)
-                if cut:
-                    at = np.asarray(cut, np.int64)
-                    np.add.at(change, at[:, 0], 1)
-                    np.add.at(change, at[:, 1], -1)
-                gone = np.cumsum(change[:-1]) > 0
-                stay = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-                n_words.append(len(words))
-                removed.append(int(gone.sum()))
-                digest.append(_digest(stay))
-                left.append(b" ".join(stay).decode("utf-8", "surrogatepass") if texts else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], ["doc_id", "k", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return docs.mapInArrow(run, "doc_id long, k long, n_words long, n_removed long, kept_sha256 string, kept string")
+            rows: list[list] = [[], [], [], []]
+            for z, cut, late in zip(*(b.column(c).to_pylist() for c in ("z", "cut", "late")), strict=True):
+                words = _words(_text(z))
+                n, stay = _strike(words, (cut or []) + (late or []))
+                for to, v in zip(rows, (len(words), n, _digest(stay), b" ".join(stay).decode("utf-8", "surrogatepass") if texts and n else None), strict=True):
+                    to.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), *[pa.array(r, kind) for r, kind in zip(rows, kinds, strict=True)]], ["doc_id", "k", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return docs.mapInArrow(run, _RESULT)
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """The anchors that occur twice or more; map-side sums make a frequent one cheap."""
+    twice = _seeds(docs).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("a").alias("b"))
+    return table(_seeds(docs).join(twice, F.col("a") == F.col("b"), "left_semi"), "places")
+
+
+def _found(places: DataFrame) -> DataFrame:
+    """d2 (doc_id) and found: what there is to do at its repeated anchors."""
+    each = places.groupBy("a").agg(F.min(F.struct("doc_id", "at")).alias("first"), (F.min("s") != F.max("s")).alias("open")).withColumnRenamed("a", "b")
+    todo = places.join(each, F.col("a") == F.col("b")).filter(F.col("open") | (F.struct("doc_id", "at") != F.col("first")))
+    # of one document: bounded by its text
+    return todo.groupBy(F.col("doc_id").alias("d2")).agg(F.collect_list(F.struct("at", "a", "open")).alias("found"))
+
+
+def _late(segments: DataFrame) -> DataFrame:
+    """d2, k2 and late: spans to remove in the windows of open anchors."""
+    # the first place of each distinct segment; its window hashes are a function of it
+    distinct = table(segments.groupBy("a", "s").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("w").alias("w")), "distinct")
+    windows = distinct.select("a", "s", F.posexplode("w").alias("i", "v"), "first").select("a", "s", "i", "v", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("i")).alias("start")).alias("here"))
+    earliest = windows.groupBy("a", "v").agg(F.min("here").alias("least"))
+    late = windows.join(earliest, ["a", "v"]).filter("here <> least").groupBy("a", "s").agg(F.collect_list("i").alias("late"))  # at most LENGTH of a segment
+    known = distinct.select("a", "s", "first", F.size("w").alias("c")).join(late, ["a", "s"], "left")
+    found = segments.select("doc_id", "k", "start", "a", "s").join(known, ["a", "s"])
+    # any but the first of equal segments loses all its windows, the first only those found elsewhere before
+    is_first = F.col("first") == F.struct("doc_id", "start")
+    spans = F.when(~is_first, F.array(F.array(F.col("start"), F.col("start") + F.col("c") - 1 + LENGTH))).otherwise(F.transform(F.col("late"), lambda i: F.array(F.col("start") + i, F.col("start") + i + LENGTH)))
+    cut = found.withColumn("cut", spans).filter("size(cut) > 0")
+    return cut.groupBy(F.col("doc_id").alias("d2"), F.col("k").alias("k2")).agg(F.flatten(F.collect_list("cut")).alias("late"))
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,32 +244,17 @@ def remove_repeats(docs: DataFrame, texts: bool = True, doc_id: str = "doc_id",
     An empty table gives no rows. kept is null where nothing was removed.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
-    seeds = _seeds(d)
-    # anchors seen twice; map-side sums make a frequent one cheap
-    twice = seeds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("a").alias("b"))
-    places = _seeds(d).join(twice, F.col("a") == F.col("b"), "left_semi").groupBy("doc_id", "k").agg(F.collect_list("at").alias("at"))  # of one document: bounded by its text
-    places = places.withColumnsRenamed({"doc_id": "d2", "k": "k2"})
-    extended = table(_extend(d.join(places, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").select("doc_id", "k", "t", "at")), "segments")
-    segments = extended.filter("s IS NOT NULL")
-    here = F.struct("doc_id", "start")
-    # the first place of each distinct segment; its window hashes are a function of it
-    distinct = table(segments.groupBy("a", "s").agg(F.min(here).alias("first"), F.first("w").alias("w")), "distinct")
-    several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    windows = distinct.join(several, "a", "left_semi").select("a", "s", F.posexplode("w").alias("i", "v"), "first").select("a", "s", "i", "v", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("i")).alias("start")).alias("here"))
-    earliest = windows.groupBy("a", "v").agg(F.min("here").alias("least"))
-    late = windows.join(earliest, ["a", "v"]).filter("here <> least").groupBy("a", "s").agg(F.collect_list("i").alias("late"))  # at most LENGTH of a segment
-    known = distinct.select("a", "s", "first", F.size("w").alias("c")).join(late, ["a", "s"], "left")
-    found = segments.select("doc_id", "k", "start", "a", "s").join(known, ["a", "s"])
-    # any but the first of equal segments loses all its windows, the first only those found elsewhere before
-    is_first = F.col("first") == F.struct("doc_id", "start")
-    cuts = F.when(~is_first, F.array(F.array(F.col("start"), F.col("start") + F.col("c") - 1 + LENGTH))).otherwise(F.transform(F.col("late"), lambda i: F.array(F.col("start") + i, F.col("start") + i + LENGTH)))
-    cut = found.withColumn("cut", cuts).filter("size(cut) > 0").groupBy("doc_id", "k").agg(F.flatten(F.collect_list("cut")).alias("cut"))
-    cut = cut.withColumnsRenamed({"doc_id": "d2", "k": "k2"})
-    whole = extended.filter("s IS NULL")
-    touched = whole.filter("t IS NOT NULL").select("doc_id", "k", "t")
-    struck = _strike(touched.join(cut, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").select("doc_id", "k", "t", "cut"), texts)
-    rest = whole.filter("t IS NULL").select("doc_id", "k", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    return struck.union(rest).drop("k")
+    places = _places(d)
+    release(docs.sparkSession)
+    found = _found(places)
+    extended = table(_extend(_squeezed(d).join(found, F.col("doc_id").eqNullSafe(F.col("d2")), "left").select("doc_id", "k", "z", "found"), texts), "extended")
+    release(docs.sparkSession)
+    late = table(_late(extended.filter("s IS NOT NULL")), "late")
+    release(docs.sparkSession)
+    open_ = extended.filter("s IS NULL AND n_words IS NULL").select("doc_id", "k", "z", "cut")
+    ended = _finish(open_.join(late, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").select("doc_id", "k", "z", "cut", "late"), texts)
+    done = extended.filter("n_words IS NOT NULL").select(ended.columns)
+    return done.union(ended).drop("k")
 
 
 def query(docs: DataFrame) -> DataFrame:
