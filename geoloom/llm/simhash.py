@@ -251,7 +251,12 @@ def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, doc_id: str =
     Rows without an id stay only where no row of their component has one. Rows that repeat id and
     text are one document; all of them stay (exact deduplication comes first).
     """
-    ranked = group(docs, radius, shingle, doc_id, text).select(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"), "doc_id", "text_key")
+    return first_of(docs, group(docs, radius, shingle, doc_id, text), doc_id, text)
+
+
+def first_of(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_first` keeps of the components in ``grouped`` (as :func:`group` gives them)."""
+    ranked = grouped.select(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"), "doc_id", "text_key")
     ranked = ranked.filter(F.col("doc_id").eqNullSafe(F.col("c")))
     key, c, k = fresh(docs, "key", "c", "k")
     kept = ranked.groupBy("c", "f").agg(F.min("text_key").alias(k)).select(F.col("c").alias(c), k).distinct()
