@@ -19,8 +19,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: allow, host, path.
 RULES = [(True, "com", "/"), (False, "example.com", "/en/"), (True, "www.example.com", "/en/"), (False, "net", "/es/"), (False, "net", "/fr/")]
 
-#: Longest context, slots of the hashed counts of an order (bounds the model), one URL in so many held out, bins of scores.
-ORDER, SLOTS, HELD_OUT, BINS = 4, 1 << 16, 8, 400
+#: Longest context, one URL in so many held out, bins of scores.
+ORDER, HELD_OUT, BINS = 4, 8, 400
 SPAN = 8.0
 
 
@@ -53,69 +53,76 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, row
 
 
-def _slots(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each order the slot of the n-gram that ends at each place and of its context."""
-    gram, context = [], []
+def _grams(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each order the n-gram that ends at each place: the order above the bytes, so no two share a number."""
+    out = []
     for k in range(ORDER + 1):
-        c = np.full(len(at), k + 1, np.uint64)
-        for j in range(k, 0, -1):
-            c = c * np.uint64(0x100000001B3) + x[at - j] + np.uint64(1)
-        g = c * np.uint64(0x100000001B3) + x[at] + np.uint64(257)
-        for out, h in ((gram, g), (context, c * np.uint64(31) + np.uint64(7))):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append(((h >> np.uint64(32)) % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS)
-    return np.array(gram), np.array(context)
+        g = np.full(len(at), k, np.uint64)
+        for j in range(ORDER, -1, -1):
+            g = g << np.uint64(8) | (x[at - j] if j <= k else np.uint64(0))
+        out.append(g.astype(np.int64))
+    return np.array(out)
 
 
-def count(urls: DataFrame) -> np.ndarray:
-    """Counts [rejected, accepted][n-gram, context][slot] over all of ``urls`` (s, allow).
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    Each task sums its rows by slot, Spark adds up the sums; 4 * SLOTS * (ORDER + 1) numbers at most reach the driver.
+
+def count(urls: DataFrame) -> Model:
+    """The n-grams over all of ``urls`` (s, allow), sorted, their counts [rejected, accepted], and the same of the contexts.
+
+    Spark adds up the sums of the tasks; a row for each distinct n-gram reaches the driver.
     """
-    width = SLOTS * (ORDER + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * width, np.int64)
         for b in batches:
             x, row = _codes(b.column("s").to_pylist())
             at = np.flatnonzero(row >= 0)
             allow = b.column("allow").to_numpy(zero_copy_only=False).astype(np.int64)[row[at]]
-            for kind, slots in enumerate(_slots(x, at)):
-                for s in slots:
-                    total += np.bincount((2 * allow + kind) * width + s, minlength=4 * width)
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 50_000].astype(np.int32)), pa.array(total[some[i : i + 50_000]])], ["slot", "n"])
+            found, n = np.unique(2 * _grams(x, at) + allow, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found >> 1), pa.array(n * (1 - (found & 1))), pa.array(n * (found & 1))], ["gram", "rejected", "accepted"])
+
+    summed = urls.mapInArrow(run, "gram long, rejected long, accepted long").groupBy("gram").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")).toArrow()
+    grams = summed.column("gram").to_numpy()
+    order = np.argsort(grams)
+    grams = grams[order]
+    counts = np.array([summed.column(c).to_numpy()[order] for c in ("rejected", "accepted")], np.float64)
+    contexts, of = np.unique(grams >> 8, return_inverse=True)
+    return grams, counts, contexts, np.array([np.bincount(of, c, len(contexts)) for c in counts])
+
 
-    summed = urls.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(4 * width)
-    for slot, n in summed.toLocalIterator():
-        out[slot] = n
-    return out.reshape(2, 2, width)
+def _of(known: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The counts of the wanted numbers, 0 where they are not known."""
+    if not len(known):
+        return np.zeros(wanted.shape)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, counts[at], 0.0)
 
 
-def ratios(texts: list[str], model: np.ndarray) -> np.ndarray:
+def ratios(texts: list[str], model: Model) -> np.ndarray:
     """Log-likelihood by character under the rejecting model less that under the accepting one.
 
     Each order is smoothed with the one below, with the weight of its context's count.
     """
     x, row = _codes(texts)
     at = np.flatnonzero(row >= 0)
-    gram, context = _slots(x, at)
+    grams, gram_counts, contexts, context_counts = model
+    found, back = np.unique(_grams(x, at), return_inverse=True)
+    back = back.reshape(ORDER + 1, -1)
     logs = []
-    for of in model:
+    for i in range(2):
+        of_gram, of_context = _of(grams, gram_counts[i], found), _of(contexts, context_counts[i], found >> 8)
         p = np.full(len(at), 1 / 257)
         for k in range(ORDER + 1):
-            n, c = of[0][gram[k]], of[1][context[k]]
-            p = (np.minimum(n, c) + 2.0 * p) / (c + 2.0)
+            c = of_context[back[k]]
+            p = (of_gram[back[k]] + 2.0 * p) / (c + 2.0)
         logs.append(np.log(p))
     sums = np.bincount(row[at], logs[0] - logs[1], len(texts))
     return sums / np.maximum(np.bincount(row[at], minlength=len(texts)), 1)
 
 
-def score(urls: DataFrame, model: np.ndarray) -> DataFrame:
-    """``urls`` (id, s, …) with its ratio; the model goes to the tasks once each as a broadcast of fixed size."""
-    shared = urls.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+def score(urls: DataFrame, model: Model) -> DataFrame:
+    """``urls`` (id, s, …) with its ratio; the model goes to the tasks once each as a broadcast that grows with the distinct n-grams."""
+    shared = urls.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*urls.schema, StructField("ratio", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
