@@ -4,7 +4,9 @@ The k-gram hashes of all documents are joined to their places in the
 templates. A hit votes for its diagonal, the offset between the two places;
 neighbouring diagonals are merged, as a word put in or left out shifts the rest
 by one. A span is verified by how much of the template its hits cover, in a
-stretch of the document not much longer than the template.
+stretch of the document not much longer than the template, and by the words
+that tell licenses apart (MARKS and version numbers): those in the stretch must be
+those of the template. Of overlapping spans with different labels the best stays.
 """
 
 from __future__ import annotations
@@ -23,6 +25,14 @@ GRAM, NEAR, COVER, STRETCH = 4, 3, 0.7, 1.5
 #: Phrases that decide by themselves.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
+#: Words that tell licenses with nearly equal notices apart, by their spellings.
+MARKS = {
+    "affero": "affero", "lesser": "lesser",
+    "noncommercial": "nc", "commercial": "nc", "nc": "nc",
+    "sharealike": "sa", "alike": "sa", "sa": "sa",
+    "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "derivs": "nd", "nd": "nd",
+}
+
 _LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of a word, with A-Z as they are lower-cased
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -40,8 +50,43 @@ def _count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_LETTER + "+")).cast("long")
 
 
+def marks_of(w: list[str]) -> list[str]:
+    """The marks of a template's words, sorted: of MARKS, and the number after ``version`` or ``v``."""
+    versions = {f"version {b}" for a, b in zip(w, w[1:], strict=False) if a in ("version", "v") and re.fullmatch("[0-9]+", b)}
+    return sorted(versions | {MARKS[x] for x in w if x in MARKS})
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({_LETTER}+)"), F.lit(1)), F.lower)
+
+
+def _marks(text: Column) -> Column:
+    """Place and mark of every such word of a text."""
+    known = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+
+    def mark(w: Column, x: Column, i: Column) -> Column:
+        number = F.when((i > 0) & F.get(w, i - 1).isin("version", "v") & F.regexp_like(x, F.lit("^[0-9]+$")), F.concat(F.lit("version "), x))
+        return F.struct(i.alias("place"), F.coalesce(known[x], number).alias("mark"))
+
+    return let(_words(text), lambda w: F.filter(F.transform(w, lambda x, i: mark(w, x, i)), lambda m: m["mark"].isNotNull()))
+
+
+def chosen(found: Column, marks: Column) -> Column:
+    """Of the spans of a document those with the marks of their template that no better one of another label overlaps."""
+
+    def right(s: Column) -> Column:
+        inside = F.filter(marks, lambda m: (m["place"] >= s["from"]) & (m["place"] <= s["to"]))
+        return F.array_sort(F.array_distinct(F.transform(inside, lambda m: m["mark"]))) == s["marks"]
+
+    def best(all_: Column, s: Column) -> Column:
+        beats = lambda o: (o["label"] != s["label"]) & (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (F.struct(o["score"], o["covered"]) > F.struct(s["score"], s["covered"]))
+        return ~F.exists(all_, beats)
+
+    return let(F.filter(found, right), lambda all_: F.filter(all_, lambda s: best(all_, s)))
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """n_words, n_base, first_word, last_word, base (array of labels) for (doc_id, k, t).
+    """n_words, n_base, first_word, last_word, base (array of labels), marked (places and marks) for (doc_id, k, t).
 
     No phrase starts with words that end another, so one pattern finds all places.
     """
@@ -50,40 +95,41 @@ def base(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("n_base", F.regexp_count(t, F.lit(any_of)).cast("long"))
     before = lambda how: F.when(n > 0, _count(F.regexp_extract(t, f"(?s)^({how})(?={any_of})", 1)))
     labels = F.filter(F.array(*[F.when((n > 0) & F.regexp_like(t, F.lit(f"(?i){_pattern(p)}")), F.lit(label)) for label, p in PHRASES.items()]), lambda x: x.isNotNull())
-    return rows.select("doc_id", "k", _count(t).alias("n_words"), "n_base", before(".*?").alias("first_word"), before(".*").alias("last_word"), labels.alias("base"))
+    return rows.select("doc_id", "k", _count(t).alias("n_words"), "n_base", before(".*?").alias("first_word"), before(".*").alias("last_word"), labels.alias("base"), _marks(t).alias("marked"))
 
 
 def templates(spark: SparkSession, wordings: list[tuple[str, str]]) -> DataFrame:
-    """g (k-gram hash), template, label, n (words), at for every place of the templates; as many rows as they have words."""
+    """g (k-gram hash), template, label, n (words), marks, at for every place of the templates; as many rows as they have words."""
     rows = []
     for i, (label, text) in enumerate(wordings):
         w = words_of(text)
-        rows += [(*w[at : at + GRAM], i, label, len(w), at) for at in range(len(w) - GRAM + 1)]
+        rows += [(*w[at : at + GRAM], i, label, len(w), marks_of(w), at) for at in range(len(w) - GRAM + 1)]
     names = [f"w{i}" for i in range(GRAM)]
-    schema = ", ".join([*(f"{x} string" for x in names), "template int", "label string", "n int", "at int"])
-    return spark.createDataFrame(rows, schema).select(F.xxhash64(*names).alias("g"), "template", "label", "n", "at")
+    schema = ", ".join([*(f"{x} string" for x in names), "template int", "label string", "n int", "marks array<string>", "at int"])
+    return spark.createDataFrame(rows, schema).select(F.xxhash64(*names).alias("g"), "template", "label", "n", "marks", "at")
 
 
 def spans(docs: DataFrame, wordings: list[tuple[str, str]]) -> DataFrame:
-    """Verified spans of (doc_id, k, t): doc_id, k, label, score, first, last (words from 0)."""
+    """Covered spans of (doc_id, k, t): doc_id, k, label, score, first, last (words from 0), covered, marks, from, to (where the whole template would stand)."""
 
     def grams(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(GRAM)]))
         return F.when(F.size(w) >= GRAM, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    words = F.transform(F.regexp_extract_all(F.col("t"), F.lit(f"({_LETTER}+)"), F.lit(1)), F.lower)
-    rolled = docs.select("doc_id", "k", F.posexplode(let(words, grams)).alias("place", "g"))
+    rolled = docs.select("doc_id", "k", F.posexplode(let(_words(F.col("t")), grams)).alias("place", "g"))
     known = templates(docs.sparkSession, wordings)  # bounded by the templates
     votes = rolled.join(F.broadcast(known), "g").withColumn("diagonal", F.col("place") - F.col("at"))
     # the hits of a diagonal are as many as its template has words at most; rows that repeat vote once
-    lines = votes.groupBy("doc_id", "k", "template", "label", "n", "diagonal").agg(F.collect_set("at").alias("hits"))
+    lines = votes.groupBy("doc_id", "k", "template", "label", "n", "marks", "diagonal").agg(F.collect_set("at").alias("hits"))
     in_order = Window.partitionBy("doc_id", "k", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(in_order) > NEAR, F.lit(True))
     merged = lines.withColumn("new", apart.cast("int")).withColumn("group", F.sum("new").over(in_order))
     places = F.flatten(F.collect_list(F.transform("hits", lambda h: F.col("diagonal") + h)))
-    whole = merged.groupBy("doc_id", "k", "template", "label", "n", "group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), places.alias("places"))
+    whole = merged.groupBy("doc_id", "k", "template", "label", "n", "marks", "group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), places.alias("places"))
     covered = F.aggregate(F.transform("hits", lambda h, i: F.least(F.lit(GRAM), F.coalesce(F.get("hits", i + 1) - h, F.lit(GRAM)))), F.lit(0), lambda a, b: a + b)
-    found = whole.select("doc_id", "k", "label", "n", (covered / F.col("n")).alias("score"), F.array_min("places").alias("first"), (F.array_max("places") + GRAM - 1).alias("last"))
+    first, last = F.array_min("places"), F.array_max("places") + GRAM - 1
+    whole_from, whole_to = first - F.array_min("hits"), last + F.col("n") - GRAM - F.array_max("hits")
+    found = whole.select("doc_id", "k", "label", "n", (covered / F.col("n")).alias("score"), first.alias("first"), last.alias("last"), covered.alias("covered"), "marks", whole_from.alias("from"), whole_to.alias("to"))
     return found.filter((F.col("score") >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("n") + NEAR)).drop("n")
 
 
@@ -96,8 +142,9 @@ def scan(docs: DataFrame, wordings: list[tuple[str, str]] = TEMPLATES, doc_id: s
     empty table gives no rows. spans: label, score, first and last word.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    found = spans(d, wordings).groupBy("doc_id", "k").agg(F.collect_list(F.struct("label", "score", "first", "last")).alias("spans")).withColumnsRenamed({"doc_id": "d2", "k": "k2"})
+    found = spans(d, wordings).groupBy("doc_id", "k").agg(F.collect_list(F.struct("label", "score", "first", "last", "covered", "marks", "from", "to")).alias("found")).withColumnsRenamed({"doc_id": "d2", "k": "k2"})
     rows = base(d).join(found, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left")
+    rows = rows.withColumn("spans", F.transform(chosen(F.col("found"), F.col("marked")), lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score"), s["first"].alias("first"), s["last"].alias("last"))))
     more = F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)))
