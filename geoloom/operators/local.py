@@ -6,9 +6,11 @@ two meet in an equi-join on (row, col), stacks in one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,32 @@ def reclass_assign(raster: Raster, pairs: Sequence[tuple[float, float]]) -> Rast
 
 
 def reclass_from_table(raster: Raster, ranges: DataFrame) -> Raster:
-    """Ranges as a table (new, low, high): a small file, read on the driver."""
-    return reclass(raster, [(r["new"], r["low"], r["high"]) for r in ranges.select("new", "low", "high").limit(10_000).collect()])
+    """Ranges as a table (new, low, high) that fits the driver, all read there: the first range wins, unmatched values stay.
+
+    The ranges are cut at all their ends into pieces that do not overlap, sorted, and a cell finds its piece by search.
+    """
+    kept = ranges.select(*[F.col(c).cast("double") for c in ("new", "low", "high")]).toArrow().drop_null()
+    new, low, high = (kept.column(c).to_numpy() for c in ("new", "low", "high"))
+    edges = np.unique(np.concatenate([low, high]))
+    value, matched = np.zeros(len(edges)), np.zeros(len(edges), bool)
+    for v, a, b in zip(new[::-1], np.searchsorted(edges, low)[::-1], np.searchsorted(edges, high)[::-1], strict=True):
+        value[a:b], matched[a:b] = v, True
+    shared = raster.sparkSession.sparkContext.broadcast((edges, value, matched))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, value, matched = shared.value
+        for batch in batches:
+            z = batch.column("z")
+            x = z.to_numpy(zero_copy_only=False).astype(np.float64)
+            at = np.searchsorted(edges, x, "right") - 1
+            hit = (at >= 0) & ~np.isnan(x)
+            hit[hit] = matched[at[hit]]
+            out = x.copy()
+            out[hit] = value[at[hit]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), pa.array(out, mask=z.is_null().to_numpy(zero_copy_only=False))], ["row", "col", "z"])
+
+    cells = raster.select("row", "col", F.col("z").cast("double").alias("z"))
+    return cells.mapInArrow(run, cells.schema)
 
 
 def reclass_equal_interval(raster: Raster, interval: float = 10.0, start: float | None = None, end: float | None = None) -> Raster:
