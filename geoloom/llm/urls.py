@@ -1,20 +1,22 @@
 """URL filters: host and path rules, then a character language-model ratio.
 
-Two variable-order Markov models over the characters of host and path are
-counted from the URLs that rules accept and reject. A URL without a rule is
-blocked if the difference of its log-likelihoods by character is over a threshold
-calibrated on rule-decided URLs that were not counted.
+Two variable-order Markov models over the characters (code points) of host and
+path are counted from the URLs that rules accept and reject. A URL without a
+rule is blocked if the difference of its log-likelihoods by character is over a
+threshold calibrated on rule-decided URLs that were not counted.
+
+Counts are exact and live in tables: nothing of the models reaches the driver
+and no plan asks for a broadcast of them. Each distinct n-gram of the URLs to
+judge gets its log-ratio once, as a whole number of 2**-32, so that sums do not
+depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from geoloom.llm.common import table
 
 #: allow, host, path.
 RULES = [(True, "com", "/"), (False, "example.com", "/en/"), (True, "www.example.com", "/en/"), (False, "net", "/es/"), (False, "net", "/fr/")]
@@ -22,6 +24,9 @@ RULES = [(True, "com", "/"), (False, "example.com", "/en/"), (True, "www.example
 #: Longest context, one URL in so many held out, bins of scores.
 ORDER, HELD_OUT, BINS = 4, 8, 400
 SPAN = 8.0
+#: Weight of the next shorter context, and the chance of any code point without one.
+SMOOTH, UNIFORM = 2.0, 1 / 1114112
+_ONE = 2.0**32
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -41,110 +46,79 @@ def rule_of(host: Column, path: Column, rules: list[tuple[bool, str, str]] = RUL
     return out
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after ORDER zeros and before one, and the row of each byte (-1: a zero before)."""
-    pad = b"\0" * ORDER
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    x = np.frombuffer(b"".join(pad + r + b"\0" for r in raw), np.uint8).astype(np.uint64)
-    lengths = np.array([len(r) + ORDER + 1 for r in raw], np.int64)
-    row = np.repeat(np.arange(len(raw)), lengths)
-    ends = np.cumsum(lengths)
-    row[np.concatenate([np.arange(e - n, e - n + ORDER) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)] or [np.zeros(0, np.int64)])] = -1
-    return x, row
-
-
-def _grams(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each order the n-gram that ends at each place: the order above the bytes, so no two share a number."""
-    out = []
-    for k in range(ORDER + 1):
-        g = np.full(len(at), k, np.uint64)
-        for j in range(ORDER, -1, -1):
-            g = g << np.uint64(8) | (x[at - j] if j <= k else np.uint64(0))
-        out.append(g.astype(np.int64))
-    return np.array(out)
-
-
-Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+def grams(s: Column) -> Column:
+    """The ORDER + 1 characters that end at each character of ``s`` and at its end; before the first and as the last stands U+0000."""
+    zero = F.lit("\0")
+    inner = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    chars = F.concat(F.array_repeat(zero, ORDER), inner, F.array(zero))
+    at = F.sequence(F.lit(0), F.size(inner))
+    # the array is a lambda variable, so it is made once
+    many = F.transform(F.array(F.struct(chars.alias("c"), at.alias("at"))), lambda x: F.transform(x["at"], lambda i: F.concat(*[F.get(x["c"], i + j) for j in range(ORDER + 1)])))
+    return F.get(many, F.lit(0))
 
 
-def count(urls: DataFrame) -> Model:
-    """The n-grams over all of ``urls`` (s, allow), sorted, their counts [rejected, accepted], and the same of the contexts.
-
-    Spark adds up the sums of the tasks; a row for each distinct n-gram reaches the driver.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, row = _codes(b.column("s").to_pylist())
-            at = np.flatnonzero(row >= 0)
-            allow = b.column("allow").to_numpy(zero_copy_only=False).astype(np.int64)[row[at]]
-            found, n = np.unique(2 * _grams(x, at) + allow, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 1), pa.array(n * (1 - (found & 1))), pa.array(n * (found & 1))], ["gram", "rejected", "accepted"])
-
-    summed = urls.mapInArrow(run, "gram long, rejected long, accepted long").groupBy("gram").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")).toArrow()
-    grams = summed.column("gram").to_numpy()
-    order = np.argsort(grams)
-    grams = grams[order]
-    counts = np.array([summed.column(c).to_numpy()[order] for c in ("rejected", "accepted")], np.float64)
-    contexts, of = np.unique(grams >> 8, return_inverse=True)
-    return grams, counts, contexts, np.array([np.bincount(of, c, len(contexts)) for c in counts])
+def count(urls: DataFrame) -> DataFrame:
+    """gram, rejected, accepted for the distinct full-length n-grams of ``urls`` (s, allow); sums are made map-side."""
+    each = urls.select("allow", F.explode(grams(F.col("s"))).alias("gram"))
+    return each.groupBy("gram").agg(F.sum((~F.col("allow")).cast("long")).alias("rejected"), F.sum(F.col("allow").cast("long")).alias("accepted"))
 
 
-def _of(known: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The counts of the wanted numbers, 0 where they are not known."""
-    if not len(known):
-        return np.zeros(wanted.shape)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, counts[at], 0.0)
+def model(counted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order the counts of the n-grams (g, g0, g1) and of their contexts (c, c0, c1), all sums of :func:`count`."""
+    out = []
+    for k in range(ORDER + 1):
+        sums = counted.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("g")).agg(F.sum("rejected").alias("g0"), F.sum("accepted").alias("g1"))
+        context = F.substring("g", 1, k) if k else F.lit("")
+        out.append((sums, sums.groupBy(context.alias("c")).agg(F.sum("g0").alias("c0"), F.sum("g1").alias("c1"))))
+    return out
 
 
-def ratios(texts: list[str], model: Model) -> np.ndarray:
-    """Log-likelihood by character under the rejecting model less that under the accepting one.
+def ratio_table(wanted: DataFrame, known: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, ratio (long, in 2**-32) for the n-grams ``wanted`` (gram): log-likelihood under the rejecting model less that under the accepting one.
 
     Each order is smoothed with the one below, with the weight of its context's count.
     """
-    x, row = _codes(texts)
-    at = np.flatnonzero(row >= 0)
-    grams, gram_counts, contexts, context_counts = model
-    found, back = np.unique(_grams(x, at), return_inverse=True)
-    back = back.reshape(ORDER + 1, -1)
-    logs = []
-    for i in range(2):
-        of_gram, of_context = _of(grams, gram_counts[i], found), _of(contexts, context_counts[i], found >> 8)
-        p = np.full(len(at), 1 / 257)
-        for k in range(ORDER + 1):
-            c = of_context[back[k]]
-            p = (of_gram[back[k]] + 2.0 * p) / (c + 2.0)
-        logs.append(np.log(p))
-    sums = np.bincount(row[at], logs[0] - logs[1], len(texts))
-    return sums / np.maximum(np.bincount(row[at], minlength=len(texts)), 1)
-
-
-def score(urls: DataFrame, model: Model) -> DataFrame:
-    """``urls`` (id, s, …) with its ratio; the model goes to the tasks once each as a broadcast that grows with the distinct n-grams."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*urls.schema, StructField("ratio", DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r = ratios(b.column("s").to_pylist(), shared.value) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, "ratio"])
-
-    return urls.mapInArrow(run, schema)
+    df = wanted.withColumn("p0", F.lit(UNIFORM)).withColumn("p1", F.lit(UNIFORM))
+    for k, (of_gram, of_context) in enumerate(known):
+        df = df.join(of_gram, F.substring("gram", ORDER + 1 - k, k + 1) == F.col("g"), "left")
+        if k:
+            df = df.join(of_context, F.substring("gram", ORDER + 1 - k, k) == F.col("c"), "left")
+        else:
+            df = df.join(F.broadcast(of_context), F.lit(True), "left")  # one row at most
+        for i in range(2):
+            df = df.withColumn(f"p{i}", (F.coalesce(f"g{i}", F.lit(0)) + SMOOTH * F.col(f"p{i}")) / (F.coalesce(f"c{i}", F.lit(0)) + SMOOTH))
+        df = df.select("gram", "p0", "p1")
+    return df.select("gram", F.round((F.log("p0") - F.log("p1")) * _ONE).cast("long").alias("ratio"))
+
+
+def score(urls: DataFrame, counted: DataFrame) -> DataFrame:
+    """s, ratio (log-likelihood difference by character) for the distinct ``s`` of ``urls``.
+
+    A string's n-grams are summed under two 64-bit hashes of it.
+    """
+    hashes = [F.xxhash64("s").alias("h0"), F.xxhash64(F.lit("url"), F.col("s")).alias("h1")]
+    distinct = urls.select("s").distinct()
+    each = table(distinct.select(*hashes, F.explode(grams(F.col("s"))).alias("gram")).groupBy("h0", "h1", "gram").agg(F.count(F.lit(1)).alias("n")), "grams")
+    ratios = table(ratio_table(each.select("gram").distinct(), model(counted)), "ratios")
+    sums = each.join(ratios, "gram").groupBy("h0", "h1").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n") / _ONE).alias("ratio"))
+    return distinct.select("s", *hashes).join(sums, ["h0", "h1"]).select("s", "ratio")
 
 
 def threshold(held: DataFrame) -> float:
     """The ratio that best parts held-out rejected from accepted URLs (balanced accuracy), from a histogram of all of them."""
     at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("ratio") + SPAN) * (BINS / (2 * SPAN))))).cast("int")
-    seen = np.zeros((2, BINS))
-    for allow, b, n in held.groupBy("allow", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
-        seen[int(allow), b] = n
-    if not seen.sum(axis=1).all():
-        return float("inf") if not seen[0].sum() else 0.0
-    below = np.concatenate([np.zeros((2, 1)), np.cumsum(seen, axis=1)], axis=1) / seen.sum(axis=1, keepdims=True)
-    good = (1 - below[0]) + below[1]  # rejected at or above, accepted below
-    best = np.flatnonzero(good >= good.max() - 1e-12)
-    return float(best[len(best) // 2]) * 2 * SPAN / BINS - SPAN
+    seen = [[0] * BINS for _ in range(2)]
+    for allow, b, n in held.groupBy("allow", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():  # 2 * BINS rows at most
+        seen[int(allow)][b] = n
+    rejected, accepted = map(sum, seen)
+    if not rejected or not accepted:
+        return float("inf") if not rejected else 0.0
+    good, below = [], [0, 0]
+    for b in range(BINS + 1):
+        good.append((rejected - below[0]) / rejected + below[1] / accepted)  # rejected at or above, accepted below
+        below = [n + s[b] if b < BINS else n for n, s in zip(below, seen, strict=True)]
+    best = [b for b, g in enumerate(good) if g >= max(good) - 1e-12]
+    return best[len(best) // 2] * 2 * SPAN / BINS - SPAN
 
 
 def judge(pages: DataFrame, rules: list[tuple[bool, str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -152,20 +126,22 @@ def judge(pages: DataFrame, rules: list[tuple[bool, str, str]] = RULES, page_id:
 
     Null urls and urls without ``://`` have empty host and path; the models
     judge them like any other. Without URLs that a rule rejects nothing more is
-    blocked. Rows that repeat are judged alike. An empty table gives no rows.
+    blocked. A ratio equal to the threshold is allowed. Rows that repeat are judged alike.
+    Very long urls are counted whole. Other columns are not read. An empty table gives no rows.
     """
     host, path = parts(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    s = F.concat("host", "path").alias("s")
-    known = rows.filter("r IS NOT NULL").select(s, F.col("r.allow").alias("allow"))
+    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("s", F.concat("host", "path"))
+    known = rows.filter("r IS NOT NULL").select("s", F.col("r.allow").alias("allow"))
     fold = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT))
-    model = count(known.filter(fold != 0))
-    cut = threshold(score(known.filter(fold == 0), model))
+    counted = table(count(known.filter(fold != 0)), "counted")
+    held, open_rows = known.filter(fold == 0), rows.filter("r IS NULL")
+    scores = table(score(held.select("s").union(open_rows.select("s")), counted), "scores")
+    cut = threshold(held.join(scores, "s"))
     verdict = F.when(F.col("ratio") > cut, "block").otherwise("allow")
-    open_ = score(rows.filter("r IS NULL").select("page_id", "host", "path", s), model).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), verdict.alias("verdict"), "ratio")
+    judged = open_rows.join(scores, "s").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), verdict.alias("verdict"), "ratio")
     ruled = rows.filter("r IS NOT NULL").select("page_id", "host", "path", F.col("r.name").alias("rule"), F.when(F.col("r.allow"), "allow").otherwise("block").alias("verdict"), F.lit(None).cast("double").alias("ratio"))
-    return ruled.union(open_)
+    return ruled.union(judged)
 
 
 def query(pages: DataFrame) -> DataFrame:
