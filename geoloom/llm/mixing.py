@@ -37,11 +37,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.when(F.col("held"), F.col("cap")).otherwise(F.col("l") * F.col("weight")).alias("target"))
 
 
-def _key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+def _key(doc_id: Column, text: Column) -> Column:
+    """What a document's draw depends on: its id and its text, so rows without an id or with the same one are drawn independently."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def plan(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan(docs: DataFrame, seed: str = "mix", trials: int = TRIALS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each source: source, source_size, target, rate, trial.
 
     A document is emitted floor(rate) times, and once more if its draw is
@@ -52,37 +53,39 @@ def plan(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
     above it already holds in one task.
     """
     size = word_count(F.col(text)).alias("size")
-    base = docs.select(F.col(source).alias("source"), _key(F.col(doc_id)).alias("key"), size)
+    base = docs.select(F.col(source).alias("source"), _key(F.col(doc_id), F.col(text)).alias("key"), size)
     goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole")).withColumnRenamed("source", "of")
-    drawn = base.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("of"))).select("source", "source_size", "target", "rate", "whole", "size", "part", *[u.alias(f"u{i}") for i, u in enumerate(uniform(F.col("key"), seed, TRIALS))])
-    sums = drawn.groupBy("source", "source_size", "target", "rate", "whole").agg(*[F.sum(F.when(F.col(f"u{i}") < F.col("part") * 4294967296.0, F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(TRIALS)])
-    misses = [F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{i}") - F.col("target")).alias("miss"), F.lit(i).alias("trial")) for i in range(TRIALS)]
-    return sums.select("source", "source_size", "target", "rate", F.least(*misses)["trial"].alias("trial"))
+    drawn = base.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("of"))).select("source", "source_size", "target", "rate", "whole", "size", "part", *[u.alias(f"u{i}") for i, u in enumerate(uniform(F.col("key"), seed, trials))])
+    sums = drawn.groupBy("source", "source_size", "target", "rate", "whole").agg(*[F.sum(F.when(F.col(f"u{i}") < F.col("part") * 4294967296.0, F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(trials)])
+    misses = [F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{i}") - F.col("target")).alias("miss"), F.lit(i).alias("trial")) for i in range(trials)]
+    return sums.select("source", "source_size", "target", "rate", F.array_min(F.array(*misses))["trial"].alias("trial"))
 
 
-def copies(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
+def copies(docs: DataFrame, seed: str = "mix", trials: int = TRIALS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the number of copies of each row, and the new columns' names.
 
-    Null text has size 0. Rows without an id share one draw; rows that repeat
-    an id are drawn alike. An empty table gives no rows. A source without
-    words has target 0 and rate 0.
+    Null text has size 0. Rows that repeat both id and text (null: none) are one document
+    stated several times and drawn alike; all others are drawn independently. An
+    empty table gives no rows. A source without words has target 0 and rate 0.
+    With ``trials`` 1 every document has one plain Bernoulli draw; with more, the
+    draws of a source's documents are not independent, as the draw nearest its target is taken.
     """
-    goal = plan(docs, seed, doc_id, text, source)
+    goal = plan(docs, seed, trials, doc_id, text, source)
     names = dict(zip(("key", "of", "size", "source_size", "target", "copies", "rate", "trial"), fresh(docs, "key", "of", "size", "source_size", "target", "copies", "rate", "trial"), strict=True))
     goal = goal.select(F.col("source").alias(names["of"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("rate").alias(names["rate"]), F.col("trial").alias(names["trial"]))
-    df = docs.withColumn(names["key"], _key(F.col(doc_id))).withColumn(names["size"], word_count(F.col(text)))
+    df = docs.withColumn(names["key"], _key(F.col(doc_id), F.col(text))).withColumn(names["size"], word_count(F.col(text)))
     df = df.join(F.broadcast(goal), F.col(source).eqNullSafe(F.col(names["of"])))
-    u = F.array(*uniform(F.col(names["key"]), seed, TRIALS))[F.col(names["trial"])]
+    u = F.array(*uniform(F.col(names["key"]), seed, trials))[F.col(names["trial"])]
     whole = F.floor(names["rate"])
     df = df.withColumn(names["copies"], (whole + (u < (F.col(names["rate"]) - whole) * 4294967296.0).cast("int")).cast("int"))
     return df, names
 
 
-def mix(docs: DataFrame, **columns: str) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken."""
-    df, n = copies(docs, **columns)
+def mix(docs: DataFrame, **options: str | int) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken (options as in :func:`copies`)."""
+    df, n = copies(docs, **options)
     again = F.explode(F.array_repeat(F.lit(1), F.col(n["copies"])))
     name = fresh(df, "again")[0]
     return df.filter(F.col(n["copies"]) > 0).withColumn(name, again).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -95,7 +98,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 def sql(documents: str = "documents", tail: str = "SELECT doc_id, size, source_size, target, CAST(n * size AS BIGINT) AS taken FROM emitted") -> str:
     """DuckDB SQL for :func:`query` (``tail`` may read other columns)."""
-    key = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    key = "(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')))"
     draws = ", ".join(f"{uniform_sql(key, 'mix', i)}" for i in range(TRIALS))
     return f"""
     WITH sized AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, [{draws}] AS u FROM {documents}),
