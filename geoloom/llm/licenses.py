@@ -12,6 +12,7 @@ those of the template. Of overlapping spans with different labels the best stays
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ def marks_of(w: list[str]) -> list[str]:
 
 
 def _words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({_LETTER}+)"), F.lit(1)), F.lower)
+    """The words, with A-Z alone lower-cased: the other letters that :func:`pyspark.sql.functions.lower` maps to a-z (as the Kelvin sign) stay."""
+    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(f"({_LETTER}+)"), F.lit(1))
 
 
 def _marks(text: Column) -> Column:
@@ -138,7 +140,8 @@ def scan(docs: DataFrame, wordings: list[tuple[str, str]] = TEMPLATES, doc_id: s
 
     score is 1 if a phrase stands in the text, else the largest part of a
     template that a verified span covers, else 0. Null and empty texts have no
-    words, no labels and score 0. Rows that repeat are labelled alike. An
+    words, no labels and score 0. Rows that repeat are labelled alike. Of overlapping spans
+    that score the same both stay. Very long texts are split into words whole. Other columns are not read. An
     empty table gives no rows. spans: label, score, first and last word.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
