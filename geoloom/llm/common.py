@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +48,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests on one machine) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; only a session on one
+    machine (``local[…]``) without that setting gets a folder of its own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="geoloom-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -66,15 +68,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the tasks that read the table, not
     the work that made it.
     """
-    path = f"{shared_folder(df.sparkSession)}/geoloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver collect garbage, as Spark keeps the shuffle files of plans until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/geoloom-{uuid.uuid4().hex}/{name}"
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a :func:`table` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Has Spark remove the shuffle files of each query that ends within, as its result is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def uniform(key: Column, salt: str, n: int) -> list[Column]:

@@ -8,6 +8,12 @@ it anchors, to a segment. Equal segments need no comparison of their
 windows; only the distinct segments of an anchor are compared window by window.
 Windows that start earlier elsewhere are merged to maximal repeats and their
 words removed.
+
+Words, segments and windows are compared by hashes: two places count as equal
+if 48 bits of their anchor and 64 bits of the segment or window agree. Among n
+of them a false match has a probability below n**2 / 2**113, that is 1 in 10,000
+for 10**15 windows; two words of a corpus that share their 64 bits matter only
+between the same 19 neighbours.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import release, table
+from geoloom.llm.common import table
 
 LENGTH, GRAM = 20, 6
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -82,6 +88,19 @@ def _segment(h: np.ndarray, first: int, count: int) -> int:
     return xxhash.xxh64_intdigest(h[first : first + count - 1 + LENGTH].tobytes()) - (1 << 63)
 
 
+def _frequent(docs: DataFrame) -> DataFrame:
+    """b: the anchors of (doc_id, t) that occur twice or more; sums within a batch and map-side make a frequent one cheap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [anchors(_hashes(_words(t)))[0] & ANCHOR_BITS for t in b.column("t").to_pylist()]
+            if found:
+                a, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(a), pa.array(n)], ["a", "n"])
+
+    return docs.select("t").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("a").alias("b"))
+
+
 def _seeds(docs: DataFrame) -> DataFrame:
     """a (anchor), s (its segment), doc_id, at (place) for every anchor of (doc_id, t)."""
 
@@ -205,14 +224,21 @@ def _finish(docs: DataFrame, texts: bool) -> DataFrame:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """The anchors that occur twice or more; map-side sums make a frequent one cheap."""
-    twice = _seeds(docs).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("a").alias("b"))
-    return table(_seeds(docs).join(twice, F.col("a") == F.col("b"), "left_semi"), "places")
+    """The places of the anchors that occur twice or more.
+
+    The texts are hashed for the counts and again for the places: a table of all
+    places would cost more disk than the second pass costs time.
+    """
+    return table(_seeds(docs).join(_frequent(docs), F.col("a") == F.col("b"), "left_semi"), "places")
 
 
 def _found(places: DataFrame) -> DataFrame:
-    """d2 (doc_id) and found: what there is to do at its repeated anchors."""
-    each = places.groupBy("a").agg(F.min(F.struct("doc_id", "at")).alias("first"), (F.min("s") != F.max("s")).alias("open")).withColumnRenamed("a", "b")
+    """d2 (doc_id) and found: what there is to do at its repeated anchors.
+
+    What is known of an anchor is a table of its own, so that the join is a
+    plain one, whose parts adaptive execution may split where an anchor is frequent.
+    """
+    each = table(places.groupBy("a").agg(F.min(F.struct("doc_id", "at")).alias("first"), (F.min("s") != F.max("s")).alias("open")).withColumnRenamed("a", "b"), "anchors")
     todo = places.join(each, F.col("a") == F.col("b")).filter(F.col("open") | (F.struct("doc_id", "at") != F.col("first")))
     # of one document: bounded by its text
     return todo.groupBy(F.col("doc_id").alias("d2")).agg(F.collect_list(F.struct("at", "a", "open")).alias("found"))
@@ -241,16 +267,13 @@ def remove_repeats(docs: DataFrame, texts: bool = True, doc_id: str = "doc_id",
     earlier (smaller doc_id, or the same document before). A null id is the
     smallest. Null and empty texts, and texts shorter than a window, lose
     nothing. Rows that repeat an id count as one document: where they agree, neither is earlier.
+    Very long texts are windows like any other, in arrays of their task. Other columns are not read.
     An empty table gives no rows. kept is null where nothing was removed.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
-    places = _places(d)
-    release(docs.sparkSession)
-    found = _found(places)
+    found = _found(_places(d))
     extended = table(_extend(_squeezed(d).join(found, F.col("doc_id").eqNullSafe(F.col("d2")), "left").select("doc_id", "k", "z", "found"), texts), "extended")
-    release(docs.sparkSession)
     late = table(_late(extended.filter("s IS NOT NULL")), "late")
-    release(docs.sparkSession)
     open_ = extended.filter("s IS NULL AND n_words IS NULL").select("doc_id", "k", "z", "cut")
     ended = _finish(open_.join(late, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").select("doc_id", "k", "z", "cut", "late"), texts)
     done = extended.filter("n_words IS NOT NULL").select(ended.columns)
