@@ -25,6 +25,8 @@ from geoloom.llm.common import fresh, table
 from geoloom.llm.graph import components
 
 SEED, BITS = 42, 64
+#: Parts of a component that are dealt to different tasks; fingerprints sampled to estimate candidates (this decides costs only, no result).
+SALTS, SAMPLED = 64, 4096
 #: Seconds for a probed key and for a compared pair, to weigh one against the other.
 PROBE_S, PAIR_S = 1.5e-6, 1e-8
 
@@ -111,26 +113,48 @@ def allocate(cost: Callable[[int, int], float], m: int, radius: int, most: int =
     return best.get(radius - m + 1, (float("inf"), []))
 
 
-def plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
+def sample(fps: DataFrame, most: int = SAMPLED) -> np.ndarray:
+    """At most ``most`` of the distinct fingerprints, those with the least hashes."""
+    found = fps.select("fp").orderBy(F.xxhash64("fp")).limit(most).toArrow().column("fp")
+    return found.to_numpy().view(np.uint64)
+
+
+def agreeing(seen: np.ndarray, bits: list[int], most: int = 2) -> np.ndarray:
+    """The pairs of ``seen`` that differ in 0, 1, … ``most`` of ``bits``."""
+    x = seen & np.uint64(sum(1 << b for b in bits))
+    out = np.zeros(most + 1)
+    for i in range(0, len(x), 256):
+        apart = np.bitwise_count(x[i : i + 256, None] ^ x[None, :])
+        out += [np.count_nonzero(apart == d) for d in range(most + 1)]
+    out[0] -= len(x)  # with itself
+    return out / 2
+
+
+def plan(n: int, both: np.ndarray, radius: int, seen: np.ndarray) -> list[tuple[list[int], int]]:
     """Parts (their bits) and thresholds with the least estimated work for ``n`` fingerprints.
 
-    Bit b of two fingerprints agrees with probability a_b = p² + (1 - p)²; with a part's
-    bits taken as independent, the pairs that share a key with bits S masked number
-    n²/2 · Π a_b over the bits outside S.
+    A pair that differs in d <= t bits of a part of b bits shares C(b - d, t - d) of the keys with t bits
+    masked. Such pairs are counted among ``seen``, a sample, as bits of a part vary together.
+    Below what a sample can show, bit i of two fingerprints agrees with probability
+    a_i = p² + (1 - p)² and the estimate is the product over the part, which is a lower bound for correlated bits.
     """
     p = np.diag(both) / max(n, 1)
     agree = p**2 + (1 - p) ** 2
+    whole = n * n / 2
+    scale = whole / max(len(seen) * (len(seen) - 1) / 2, 1)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(2, radius + 3):
         parts = arrange(n, both, m)
+        counted = [agreeing(seen, part) for part in parts]
 
-        def cost(i: int, t: int, parts: list[list[int]] = parts) -> float:
+        def cost(i: int, t: int, parts: list[list[int]] = parts, counted: list[np.ndarray] = counted) -> float:
             a = agree[parts[i]]
             e = np.zeros(t + 1)  # elementary symmetric sums of 1 / a
             e[0] = 1
             for x in 1 / a:
                 e[1:] += x * e[:-1].copy()
-            return n * comb(len(a), t) * PROBE_S + n * n / 2 * float(np.prod(a)) * e[t] * PAIR_S
+            shown = scale * sum(counted[i][d] * comb(len(a) - d, t - d) for d in range(t + 1))
+            return n * comb(len(a), t) * PROBE_S + max(whole * float(np.prod(a)) * e[t], shown) * PAIR_S
 
         c, ts = allocate(cost, m, radius)
         if c < best[0]:
@@ -223,14 +247,30 @@ def _link(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def link(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links u, v between the distinct fingerprints ``fp`` that connect all within ``radius`` bits."""
-    parts = plan(*bit_counts(fps), radius)
+    parts = plan(*bit_counts(fps), radius, sample(fps))
     probes = fps.select("fp", F.explode(keys(F.col("fp"), parts)).alias("k")).select("k.mask", "k.v", "fp")
     return probes.repartition("mask", "v").sortWithinPartitions("mask", "v").mapInArrow(_link(radius), "u long, v long")
 
 
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, component_id (the least ``first`` of its component) for ``nodes`` (fp, first); ``roots`` (node, root) has those with links.
+
+    Nodes without links are done at once. Of the others each root's least id is
+    repeated for SALTS parts of its nodes, so a component with a third of all nodes is dealt to many tasks.
+    """
+    named = table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "root"), "named")
+    linked = named.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    part = linked.groupBy("root", "salt").agg(F.min("first").alias("component_id"))
+    least = part.groupBy("root").agg(F.min("component_id").alias("component_id"), F.collect_set("salt").alias("salts"))
+    spread = least.select("root", "component_id", F.explode("salts").alias("salt"))
+    found = linked.join(spread, ["root", "salt"]).select("fp", "component_id")
+    return found.union(named.filter("root IS NULL").select("fp", F.col("first").alias("component_id")))
+
+
 def group(docs: DataFrame, radius: int = 4, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, fingerprint (16 hex digits), component_id for every row.
 
+    Very long texts are hashed in blocks of shingles; other columns are not read.
     Rows whose fingerprints differ in at most ``radius`` bits are linked; component_id
     is the smallest doc_id reachable, null where all have none. Null and empty
     texts have fingerprint zero and are linked like any other. Rows that
@@ -239,9 +279,7 @@ def group(docs: DataFrame, radius: int = 4, shingle: int = 4, doc_id: str = "doc
     rows = table(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     fps = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(link(fps, radius))
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
+    label = labelled(fps, roots)
     return rows.join(label, "fp").select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
