@@ -26,6 +26,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Words remembered by a worker, and leaves worked on at once.
 MEMO, LEAVES = 300_000, 1 << 21
 _NONE = np.int32(2**31 - 1)
+#: Words of over 2**(LONG - 1) bytes are merged one by one where fewer than FEW are at hand.
+LONG, FEW = 9, 16
 
 #: Texts of these characters alone need no normalization but lower case, and Python's character classes part them as the vocabulary's do.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ]")
@@ -71,6 +73,7 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in pairs], np.int32)
+        self.known = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         self.memo: dict[str, tuple[str, str, bytes]] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,10 +92,60 @@ class Encoder:
             step = max(1, LEAVES >> level)
             for i in range(0, len(group), step):
                 part = group[i : i + step].tolist()
+                if level >= LONG and len(part) < FEW:
+                    for k in part:
+                        out[k] = self._alone(words[k], 1 << level)
+                    continue
                 for k, ids in zip(part, self._in_step([words[k] for k in part], 1 << level), strict=True):
                     out[k] = ids
         return out
 
+    def _alone(self, word: bytes, leaves: int) -> np.ndarray:
+        """The ids of one long word: the tree as a list, whose nodes change only as far up as a minimum does."""
+        raw = np.frombuffer(word, np.uint8)
+        sym = self.inside[raw].copy()
+        sym[-1] = self.last[raw[-1]]
+        layer = np.full(leaves, _NONE, np.int32)
+        layer[: len(sym) - 1] = self.rank(sym[:-1], sym[1:])
+        layers = [layer]
+        while len(layers[-1]) > 1:
+            layers.append(np.minimum(layers[-1][0::2], layers[-1][1::2]))
+        tree = [int(_NONE), *np.concatenate(layers[::-1]).tolist()]
+        ids, none, size, known, made = sym.tolist(), int(_NONE), self.size, self.known, self.made.tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        after[-1] = -1
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + leaves
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:
+                    return
+                tree[node] = low
+
+        while tree[1] != none:
+            node, rank = 1, tree[1]
+            while node < leaves:
+                node *= 2
+                node += tree[node] != rank
+            i = node - leaves
+            j = after[i]
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            put(j, none)
+            if k >= 0:
+                before[k] = i
+                put(i, known.get(ids[i] * size + ids[k], none))
+            else:
+                put(i, none)
+            p = before[i]
+            if p >= 0:
+                put(p, known.get(ids[p] * size + ids[i], none))
+        out = np.array(ids, np.int32)
+        return out[out >= 0]
+
     def _in_step(self, words: list[bytes], leaves: int) -> list[np.ndarray]:
         n = len(words)
         sizes = np.array([len(w) for w in words])
@@ -206,7 +259,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     ids_sha256 is of the decimal ids joined by a space, decoded_sha256 of the
     decoded text. Null text counts as empty: no ids. Strings of added tokens
     in a text give their ids. Rows that repeat are encoded alike; a null
-    id stays null. An empty table gives no rows. path: the vocabulary file, the same on every machine.
+    id stays null. Very long texts are encoded whole, very long words in a tree of their own; of equal ranks the
+    leftmost is merged. Other columns are not read. An empty table gives no rows. path: the vocabulary file, the same on every machine.
     """
     path = path or default_path()
 
