@@ -264,7 +264,7 @@ def write(encoded: DataFrame, by_rank: np.ndarray, kind: str, files: int) -> Dat
         if docs:
             yield flush()
 
-    dealt = encoded.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    dealt = encoded.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "n").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     return table(dealt.mapInArrow(run, "file int, block int, ids_before long, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary"), "blocks")
 
 
@@ -295,7 +295,7 @@ def store(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text
     """Writes all documents as token files in ascending doc_id order; the blocks and the ids by rank, which :func:`read` needs.
 
     Null text counts as empty: the end id alone. Rows without an id come first, rows that
-    repeat an id stand together, the shorter first. An empty table gives no blocks.
+    repeat an id stand together, the shorter first. Very long texts are a block of their own. Other columns are not read. An empty table gives no blocks.
     path: the vocabulary file, the same on every machine.
     """
     path = path or default_path()
