@@ -212,7 +212,8 @@ def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str
     """doc_id, the statistics, base_failed, rule (that rejects, or null) and kept for every row.
 
     Null and empty texts have no words, so the base rules reject them. Rows
-    that repeat are judged alike. An empty table gives no rows; without
+    that repeat are judged alike; a value equal to a threshold is not above it. A very
+    long text is an array of its words in one row of its task. Other columns are not read. An empty table gives no rows; without
     labelled documents the list is empty and the base rules decide.
     """
     whole = docs.select(

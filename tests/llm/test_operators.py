@@ -54,6 +54,14 @@ def test_licenses(docs, none):
     assert licenses.query(none).count() == 0
 
 
+def test_license_lowers_ascii_only(spark):
+    """Only A-Z are lower-cased: with a Kelvin sign a word is another one."""
+    notice = "this {} is licensed under the GNU General Public License, version 3"
+    docs = spark.createDataFrame([(0, notice.format("WORK")), (1, notice.format("wor\u212a"))], "doc_id long, text string")
+    plain, kelvin = (r.score for r in licenses.query(docs).orderBy("doc_id").collect())
+    assert kelvin < plain
+
+
 def test_license_spans(spark):
     mit = licenses.TEMPLATES[2][1].split()
     broken = mit[:30] + ["really"] + mit[30:60] + mit[61:]
@@ -112,6 +120,14 @@ def test_bpe(docs, none, word_bpe):
     assert bpe.query(none).count() == 0
 
 
+def test_bpe_long_words(spark, word_bpe):
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list("etaoinshr"), n)) for n in (257, 600, 30_000)] + ["ab" * 4000, "z" * 1025]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in bpe.encode(docs).collect():
+        assert x.ids == word_bpe.encode(texts[x.doc_id], add_special_tokens=False).ids
+
+
 def test_bpe_round_trip(docs, word_bpe):
     for r in bpe.decode(bpe.encode(docs)).collect():
         assert r.decoded == word_bpe.decode(r.ids, skip_special_tokens=False)
@@ -153,6 +169,29 @@ def test_learned_list(spark):
     assert sum(got[i] == (i % 4 != 0) for i in unseen) >= 0.99 * len(unseen)
 
 
+def plain_features(text):
+    w = words(text)
+    n, chars, symbols, dup, repeated, _ = counts(text)
+    digits, upper, marks = (len(re.findall(p, text or "")) for p in ("[0-9]", "[A-Z]", "[!?]"))
+    parts = {"symbols_per_word": (symbols, n), "repeated_words": (repeated, n), "distinct_words": (len(set(w)), n), "duplicate_lines_per_word": (dup, n), "chars_per_word": (chars, n), "upper_case": (upper, chars), "marks_per_word": (marks, n), "digits": (digits, chars)}
+    return {k: a / b if b else 0.0 for k, (a, b) in parts.items()}
+
+
+def test_verdicts_of_a_list(docs):
+    """rule and kept are those of a plain evaluation of the rules, in their order."""
+    of = quality.Condition
+    rules = [(of("symbols_per_word", True, 0.2), of("digits", False, 0.3)), (of("distinct_words", False, 0.5),), (of("chars_per_word", True, 4.0), of("upper_case", True, 0.1)), (of("digits", True, 0.01),)]
+    got = quality.judge(docs, rules).collect()
+    want = []
+    for r in ROWS:
+        x = plain_features(r[1])
+        first = next((i for i, rule in enumerate(rules) if all(c.holds(x) for c in rule)), None)
+        want.append((r[0], first, first is None and not counts(r[1])[-1]))
+    assert bag((g.doc_id, g.rule, g.kept) for g in got) == bag(want)
+    assert len({w[1] for w in want}) >= 3 and {w[2] for w in want} == {True, False}
+    assert bag(quality.keep(docs, rules).select("doc_id").collect()) == bag((w[0],) for w in want if w[2])
+
+
 # 5
 
 
@@ -199,6 +238,16 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] for s in goal)
 
 
+def test_mix_of_rows_without_id(spark):
+    """Rows without an id, or with the same one, are drawn each for itself; one trial is the plain draw."""
+    rows = [(None if i % 2 else 7, f"s{i % 3}", f"{i} " + "w " * 499) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for trials, near in ((mixing.TRIALS, 0.02), (1, 0.15)):
+        df, n = mixing.copies(docs, trials=trials)
+        for r in df.groupBy("source").agg(F.sum(F.col(n["copies"]) * F.col(n["size"])).alias("taken"), F.max(n["target"]).alias("target")).collect():
+            assert abs(r.taken - r.target) <= near * r.target
+
+
 # 6
 
 
@@ -217,6 +266,34 @@ def test_exact_dedup(docs, none):
     assert all(r.doc_id == top[r.text or ""] for r in rows)
 
 
+def test_exact_dedup_chains_keys(spark, docs, monkeypatch):
+    """Texts whose keys collide are told apart by their bytes, in cold buckets as for hot keys."""
+    want = bag(exact_dedup.query(docs).collect())
+    monkeypatch.setattr(exact_dedup, "key_of", lambda text: F.shiftleft(F.pmod(F.length(text), F.lit(3)).cast("long"), 62))
+    for rows in (1 << 40, 5):
+        monkeypatch.setattr(exact_dedup, "HOT_ROWS", rows)
+        entries, hot_rows = exact_dedup.index(docs)
+        assert (hot_rows.count() > 0) == (rows == 5)
+        assert entries.agg(F.max("chain")).first()[0] > 10
+        assert bag(exact_dedup.query(docs).collect()) == want
+        assert exact_dedup.keep_last(docs).count() == len({r[1] or "" for r in ROWS})
+
+
+def test_exact_dedup_owners(spark, monkeypatch):
+    """Buckets split, each is one owner's range of keys, and copies of a hot text still form one group."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BYTES", 2000)
+    rows = [(i, f"text {i} " * 20) for i in range(500)] + [(1000 + i, "hot " * 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    entries, hot_rows = exact_dedup.index(docs)
+    assert hot_rows.count() == 300
+    seen = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    assert len(seen) > 8
+    unsigned = sorted(((r.low & (2**64 - 1), r.high & (2**64 - 1)) if (r.low < 0) == (r.high < 0) else (0, 2**64 - 1)) for r in seen)
+    assert all(a[1] < b[0] for a, b in zip(unsigned, unsigned[1:], strict=False))
+    got = {r.doc_id: r for r in exact_dedup.query(docs).collect()}
+    assert len(got) == 800 and all(got[1000 + i].group_size == 300 and got[1000 + i].keep_id == 1299 for i in range(300))
+
+
 def test_directory():
     sizes = {p: 10 for p in range(0, 1 << exact_dedup.MAX_DEPTH, 64)} | {5: 10_000}
     buckets = exact_dedup.directory(sizes, 100)
