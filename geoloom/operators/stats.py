@@ -71,7 +71,8 @@ def contrast_stretch(raster: Raster, low: Column, high: Column, tones: int = 256
     """Linear stretch of low..high (expressions over one row of aggregates of z) to 0..tones - 1."""
     ends = raster.agg(low.alias("lo"), high.alias("hi"))
     part = (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return raster.crossJoin(F.broadcast(ends)).select("row", "col", (F.least(F.greatest(F.floor(part * tones), F.lit(0)), F.lit(tones - 1)) + F.lit(0.0)).alias("z"))
+    tone = F.least(F.greatest(F.floor(part * tones), F.lit(0)), F.lit(tones - 1)) + F.lit(0.0)
+    return raster.crossJoin(F.broadcast(ends)).select("row", "col", F.when(F.col("z").isNotNull(), tone).alias("z"))  # least and greatest skip NULL
 
 
 def min_max_contrast_stretch(raster: Raster, low: float, high: float, tones: int = 256) -> Raster:
@@ -110,7 +111,7 @@ def otsu(raster: Raster, bins: int = 256) -> Raster:
     best = h.filter("w0 < n").withColumn("v", F.col("w0") * (F.col("n") - F.col("w0")) * gap * gap).agg(F.min_by("bin", F.struct(-F.col("v"), F.col("bin"))).alias("cut"))
     span = raster.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     b = F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
-    return raster.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(best)).select("row", "col", (b > F.col("cut")).cast("double").alias("z"))
+    return raster.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(best)).select("row", "col", F.when(F.col("z").isNotNull(), b > F.col("cut")).cast("double").alias("z"))  # least skips NULL
 
 
 def unique_values(values: DataFrame, value: str = "z") -> DataFrame:
