@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.grids import AROUND, flood
 from geoloom.operators.terrain import _around
-from geoloom.plans.graph import accumulate, components, downstream, upstream
+from geoloom.plans.flow import settle
+from geoloom.plans.graph import components, downstream, upstream
 from geoloom.plans.lineage import written
+from geoloom.plans.ranking import ranked
 from geoloom.plans.stencil import TILE, dense, neighbourhood, tiled
 
 Raster = DataFrame
@@ -115,32 +117,26 @@ def d8_mass_flux(pointer: Raster, loading: Raster, efficiency: Raster, absorptio
     f = forest(pointer)
     values = loading.select(cell_id().alias("_a"), F.col("z").alias("load")).join(efficiency.select(cell_id().alias("_a"), F.col("z").alias("eff")), "_a").join(absorption.select(cell_id().alias("_a"), F.col("z").alias("loss")), "_a")
     v = written(f.join(values, F.col("id") == F.col("_a")).select("id", "next", "load", "eff", "loss"), "flux")
-    return _by_id(_mass(v), F.col("x"))
+    return _flux(v, v.filter("next IS NOT NULL").select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1.0).alias("w")))
 
 
-def _mass(v: DataFrame) -> DataFrame:
-    """Mass by rounds from the heads: a cell is settled when all that flow into it are."""
-    n_in = v.filter("next IS NOT NULL").groupBy(F.col("next").alias("_n")).agg(F.count(F.lit(1)).alias("k"))
-    waiting = written(v.join(n_in, F.col("id") == F.col("_n"), "left").select("id", "next", "load", "eff", "loss", F.coalesce("k", F.lit(0)).alias("k"), F.lit(0.0).alias("got"), F.lit(0).cast("long").alias("m")), "waiting")
-    settled = None
-    while True:
-        ready = waiting.filter("m = k").withColumn("x", F.col("load") + F.col("got"))
-        if not ready.limit(1).count():
-            return settled
-        done = ready.select("id", "x")
-        settled = written(done if settled is None else settled.union(done), "settled")
-        sent = ready.filter("next IS NOT NULL").groupBy(F.col("next").alias("_n")).agg(F.sum(F.greatest(F.col("x") - F.col("loss"), F.lit(0.0)) * F.col("eff")).alias("_g"), F.count(F.lit(1)).alias("_m"))
-        waiting = written(waiting.filter("m <> k").join(sent, F.col("id") == F.col("_n"), "left").select("id", "next", "load", "eff", "loss", "k", (F.col("got") + F.coalesce("_g", F.lit(0.0))).alias("got"), (F.col("m") + F.coalesce("_m", F.lit(0))).alias("m")), "waiting")
+def dinf_mass_flux(dem: Raster, loading: Raster, efficiency: Raster, absorption: Raster) -> Raster:
+    """As :func:`d8_mass_flux`, along D-infinity flow."""
+    named = {"load": loading, "eff": efficiency, "loss": absorption}
+    v = dem.filter(F.col("z").isNotNull()).select(cell_id().alias("id"))
+    for k, r in named.items():
+        v = v.join(r.select(cell_id().alias("id"), F.col("z").alias(k)), "id")
+    return _flux(v, dinf_edges(dinf_pointer(dem)))
+
+
+def _flux(v: DataFrame, edges: DataFrame) -> Raster:
+    return _by_id(settle(v.select("id", F.col("load").alias("start"), "loss", "eff"), edges), F.col("x"))
 
 
 def basins(pointer: Raster) -> Raster:
     """Each outlet's basin, numbered by the outlets' order."""
     ends = downstream(forest(pointer), {})
-    rank = ends.select("last").distinct()
-    from pyspark.sql import Window
-
-    # outlets are few beside cells; a number for each in row order
-    rank = rank.withColumn("n", F.row_number().over(Window.orderBy("last"))).withColumnRenamed("last", "_l")
+    rank = ranked(ends.select(F.col("last").alias("_l")).distinct(), [F.col("_l")])
     return _by_id(ends.join(rank, F.col("last") == F.col("_l")), F.col("n"))
 
 
@@ -245,8 +241,8 @@ def fd8_edges(dem: Raster, exponent: float = 1.1, contour: bool = False) -> Data
 
 
 def _spread(dem: Raster, edges: DataFrame) -> Raster:
-    cells = dem.filter(F.col("z").isNotNull()).select(cell_id().alias("id"), F.lit(1.0).alias("v"))
-    return _by_id(accumulate(cells, written(edges, "edges")), F.col("x"))
+    cells = dem.filter(F.col("z").isNotNull()).select(cell_id().alias("id"), F.lit(1.0).alias("start"), F.lit(0.0).alias("loss"), F.lit(1.0).alias("eff"))
+    return _by_id(settle(cells, written(edges, "edges")), F.col("x"))
 
 
 def fd8_flow_accumulation(dem: Raster, exponent: float = 1.1) -> Raster:
@@ -313,7 +309,8 @@ def fill_depressions(dem: Raster, increment: float = 0.0, tile: int = TILE) -> R
     while True:
         state = written(tiled(state.select("row", "col", "z", "w"), 1, tile).groupBy("tr", "tc").applyInPandas(run, "row int, col int, z double, w double, fell boolean"), "levels")
         if not state.filter("fell").limit(1).count():
-            return state.select("row", "col", F.col("w").alias("z"))
+            levels = state.select("row", "col", F.col("w").alias("z"))
+            return dem.select("row", "col").join(levels, ["row", "col"], "left")  # as dense as the DEM, for what looks at neighbours next
 
 
 def depth_in_sink(dem: Raster) -> Raster:
@@ -330,10 +327,7 @@ def clump(raster: Raster, diagonal: bool = True, zero_background: bool = False)
     to = F.array(*[F.when(F.get("n", F.lit(at)) == F.col("z"), cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in steps])
     cells = n.select(cell_id().alias("id"), F.filter(to, lambda x: x.isNotNull()).alias("to"))
     roots = components(cells.select("id"), cells.select(F.col("id").alias("a"), F.explode("to").alias("b")))
-    from pyspark.sql import Window
-
-    # a number for each patch, in the order of its first cell
-    number = roots.select("root").distinct().withColumn("n", F.row_number().over(Window.orderBy("root"))).withColumnRenamed("root", "_r")
+    number = ranked(roots.select(F.col("root").alias("_r")).distinct(), [F.col("_r")])  # in the order of the patches' first cells
     return _by_id(roots.join(number, F.col("root") == F.col("_r")), F.col("n"))
 
 

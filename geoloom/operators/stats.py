@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.local import pair
+from geoloom.plans.ranking import running
 
 Raster = DataFrame
 
@@ -170,8 +171,8 @@ def wilcoxon(a: Raster, b: Raster) -> DataFrame:
     """n, w (sum of signed average ranks of |b - a|, zeros left out) and z."""
     d = pair(a, b).select((F.col("b") - F.col("a")).alias("d")).filter("d <> 0")
     by = d.groupBy(F.abs("d").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.signum("d")).alias("s"))
-    rank = F.coalesce(F.sum("c").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("c") + 1) / 2
-    w = by.select((rank * F.col("s")).alias("w"), "c").agg(F.sum("w").alias("w"), F.sum("c").alias("n"))
+    rank = F.col("upto") - F.col("c") + (F.col("c") + 1) / 2
+    w = running(by, [F.col("k")], {"upto": F.col("c")}).select((rank * F.col("s")).alias("w"), "c").agg(F.sum("w").alias("w"), F.sum("c").alias("n"))
     return w.select("n", "w", (F.col("w") / F.sqrt(F.col("n") * (F.col("n") + 1.0) * (2.0 * F.col("n") + 1) / 6)).alias("z"))
 
 
@@ -188,9 +189,9 @@ def two_sample_ks(a: Raster, b: Raster) -> DataFrame:
     """d: the largest gap between the two cumulative distributions."""
     u = a.select("z", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("z", F.lit(0).alias("x"), F.lit(1).alias("y"))).filter("z IS NOT NULL")
     by = u.groupBy("z").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w, every = Window.orderBy("z"), Window.partitionBy()
-    gap = F.abs(F.sum("x").over(w) / F.sum("x").over(every) - F.sum("y").over(w) / F.sum("y").over(every))
-    return by.select(gap.alias("d")).agg(F.max("d").alias("d"))
+    every = by.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))  # one row
+    gap = F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))
+    return running(by, [F.col("z")], {"cx": F.col("x"), "cy": F.col("y")}).crossJoin(F.broadcast(every)).agg(F.max(gap).alias("d"))
 
 
 def ks_normality(raster: Raster, bins: int = 10_000) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.hydro import _by_id, _sum, cell_id, forest
+from geoloom.operators.vector import rasterize_lines
 from geoloom.plans.graph import downstream, upstream
+from geoloom.plans.lifting import jumps, paths
 from geoloom.plans.lineage import written
+from geoloom.plans.ranking import ranked
+from geoloom.plans.stencil import neighbourhood, window_values
 
 Raster = DataFrame
 
@@ -63,9 +67,7 @@ def links(n: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, key: str) -> Raster:
-    from pyspark.sql import Window
-
-    rank = df.select(key).distinct().withColumn("n", F.row_number().over(Window.orderBy(key))).withColumnRenamed(key, "_k")
+    rank = ranked(df.select(F.col(key).alias("_k")).distinct(), [F.col("_k")])
     return _by_id(df.join(rank, F.col(key) == F.col("_k")), F.col("n"))
 
 
@@ -196,3 +198,60 @@ def long_profile(pointer: Raster, streams: Raster, dem: Raster) -> DataFrame:
     """row, col, distance to the outlet and elevation of every stream cell."""
     d = distance_to_outlet(pointer, streams).withColumnRenamed("z", "distance")
     return d.join(dem.withColumnRenamed("z", "elevation"), ["row", "col"])
+
+
+def extract_streams(accumulation: Raster, threshold: float, zero_background: bool = False) -> Raster:
+    """1 where the accumulation is over ``threshold``; elsewhere NoData, or 0 where there is data."""
+    rest = F.when(F.col("z").isNotNull(), 0.0) if zero_background else F.lit(None)
+    return accumulation.select("row", "col", F.when(F.col("z") > threshold, 1.0).otherwise(rest).alias("z"))
+
+
+def prune_strahler_order(orders: Raster, lowest: int) -> Raster:
+    """Streams without those of an order below ``lowest``; the others count from 1 again."""
+    return orders.select("row", "col", F.when(F.col("z") >= lowest, F.col("z") - (lowest - 1)).alias("z"))
+
+
+def extract_valleys(dem: Raster, variant: str = "lower quartile", size: int = 5) -> Raster:
+    """1 at valley cells, else 0.
+
+    lower quartile: at or below the lower quartile of a window of ``size``; johnston rosenfeld: lower than
+    both side neighbours on one axis.
+    """
+    if variant == "lower quartile":
+        w = window_values(dem, size // 2, size // 2)
+        low = F.array_sort("v")
+        return w.select("row", "col", F.when(F.col("z").isNotNull(), (F.col("z") <= F.get(low, F.floor((F.size("v") - 1) * 0.25).cast("int"))).cast("double")).alias("z"))
+    n = neighbourhood(dem)
+    at = lambda i: F.get("n", F.lit(i))
+    low = ((at(1) > F.col("z")) & (at(7) > F.col("z"))) | ((at(3) > F.col("z")) & (at(5) > F.col("z")))
+    return n.select("row", "col", F.when(F.col("z").isNotNull(), F.coalesce(low, F.lit(False)).cast("double")).alias("z"))
+
+
+def long_profile_from_points(pointer: Raster, dem: Raster, points: DataFrame) -> DataFrame:
+    """fid, distance, elevation along the flow path of each point (fid, row, col)."""
+    starts = points.select(F.col("fid").alias("key"), cell_id().alias("at"))
+    z = dem.select(cell_id().alias("_z"), F.col("z").alias("elevation"))
+    walked = paths(jumps(forest(pointer)), starts)
+    return walked.join(z, F.col("id") == F.col("_z")).select(F.col("key").alias("fid"), F.col("len").alias("distance"), "elevation")
+
+
+def streams_to_vector(pointer: Raster, streams: Raster) -> DataFrame:
+    """fid, parts: a line for each link, from its first cell to the first cell of the next link (cell centres)."""
+    n = network(pointer, streams)
+    at = links(n).select(F.col("id").alias("_i"), "link")
+    far = downstream(n, {"step": _sum}).select(F.col("id").alias("_d"), F.col("step").alias("left"))
+    cells = n.join(at, F.col("id") == F.col("_i")).join(far, F.col("id") == F.col("_d")).select("id", "next", "link", "left")
+    # the receiver of the link's last cell ends its line
+    into = at.select(F.col("_i").alias("_n"), F.col("link").alias("_l"))
+    tails = cells.join(into, F.col("next") == F.col("_n")).filter("_l <> link").join(far.select(F.col("_d").alias("_e"), F.col("left").alias("_left")), F.col("next") == F.col("_e"))
+    points = cells.select("id", "link", "left").union(tails.select("next", "link", "_left"))
+    centre = F.struct((F.col("id").bitwiseAND(F.lit((1 << 32) - 1)) + 0.5).alias("x"), (F.shiftright("id", 32) + 0.5).alias("y"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("o"), centre.alias("p")))), lambda s: s["p"])
+    return points.groupBy(F.col("link").alias("fid")).agg(line.alias("line")).filter("size(line) > 1").select("fid", F.array("line").alias("parts"))
+
+
+def rasterize_streams(lines: DataFrame, base: Raster, feature_id: bool = False) -> Raster:
+    """Cells that the lines touch: 1 or the line's fid (the last one); 0 elsewhere."""
+    hit = rasterize_lines(lines, base).withColumnRenamed("z", "f")
+    value = F.when(F.col("f").isNull(), 0.0).otherwise(F.col("f") if feature_id else F.lit(1.0))
+    return base.select("row", "col").join(hit, ["row", "col"], "left").select("row", "col", value.alias("z"))

@@ -264,6 +264,25 @@ def rasterize_polygons(polygons: DataFrame, cells: DataFrame, size: float = 16.0
     return points_in_polygons(centres, polygons, size).groupBy("row", "col").agg(F.max("polygon").cast("double").alias("z"))
 
 
+def rasterize_lines(lines: DataFrame, cells: DataFrame) -> DataFrame:
+    """row, col, z: the fid of the last line through each cell (x from col, y from row).
+
+    A segment meets the cells that lie between its successive crossings with grid lines: the middle of two crossings names the cell.
+    """
+    s = segments(lines)
+
+    def crossings(a: Column, b: Column) -> Column:
+        lo, hi = F.least(a, b), F.greatest(a, b)
+        at = F.when(F.ceil(lo) <= F.floor(hi), F.sequence(F.ceil(lo), F.floor(hi))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(a != b, F.transform(at, lambda k: (k - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+
+    t = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings(F.col("x1"), F.col("x2")), crossings(F.col("y1"), F.col("y2")))))
+    middle = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: (F.get("t", i) + F.get("t", i - 1)) / 2)
+    m = s.withColumn("t", t).withColumn("m", F.explode(middle))
+    at = m.select("fid", F.floor(F.expr("y1 + m * (y2 - y1)")).cast("int").alias("row"), F.floor(F.expr("x1 + m * (x2 - x1)")).cast("int").alias("col"))
+    return at.join(cells.select("row", "col"), ["row", "col"], "left_semi").groupBy("row", "col").agg(F.max("fid").cast("double").alias("z"))
+
+
 def clip_raster(raster: DataFrame, polygons: DataFrame, keep_inside: bool = True) -> DataFrame:
     """Cells whose centres are inside (or outside) all polygons."""
     mask = rasterize_polygons(polygons, raster).select("row", "col")

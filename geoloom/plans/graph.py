@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,14 @@ from geoloom.plans.lineage import written
 Combine = Callable[[str, str], Column]
 
 
-def _pending(df: DataFrame) -> bool:
+#: Rounds after which a path has doubled to more steps than there can be cells.
+ROUNDS = 48
+
+
+def _pending(df: DataFrame, done: int) -> bool:
+    """Whether paths go on after ``done`` rounds; those of a cycle would without end."""
+    if done > ROUNDS:
+        raise ValueError("the flow paths have a cycle")
     return bool(df.filter("next IS NOT NULL").limit(1).count())
 
 
@@ -26,9 +34,9 @@ def downstream(nodes: DataFrame, carry: dict[str, Combine]) -> DataFrame:
     """
     names = list(carry)
     state = nodes.select("id", "next", F.coalesce("next", "id").alias("last"), *names)
-    while True:
+    for done in count():
         state = written(state, "paths")
-        if not _pending(state):
+        if not _pending(state, done):
             return state.drop("next")
         on = state.select(*[F.col(c).alias(f"_on_{c}") for c in ("id", "next", "last", *names)])
         j = state.join(on, F.col("next") == F.col("_on_id"), "left")
@@ -46,9 +54,9 @@ def upstream(nodes: DataFrame, sums: list[str], maxima: dict[str, str] | None =
     maxima = maxima or {}
     lengths = sorted(set(maxima.values()))
     state = nodes.select("id", "next", *sums, *maxima, *lengths)
-    while True:
+    for done in count():
         state = written(state, "totals")
-        if not _pending(state):
+        if not _pending(state, done):
             return state.drop("next", *lengths)
         gain = state.filter("next IS NOT NULL").groupBy("next").agg(*[F.sum(c).alias(f"_gain_{c}") for c in sums], *[F.max(F.col(c) + F.col(length)).alias(f"_gain_{c}") for c, length in maxima.items()]).withColumnRenamed("next", "_to")
         hop = state.select(*[F.col(c).alias(f"_on_{c}") for c in ("id", "next", *lengths)])
@@ -61,21 +69,6 @@ def upstream(nodes: DataFrame, sums: list[str], maxima: dict[str, str] | None =
         )
 
 
-def accumulate(cells: DataFrame, edges: DataFrame, start: str = "v") -> DataFrame:
-    """Flow over a weighted acyclic graph: x(v) = start(v) + Σ w·x(u) over edges u → v.
-
-    Edges (src, dst, w). Each round hands on what arrived in the round before, so a
-    cell is active only while flow reaches it; rounds are as many as the longest path.
-    """
-    total = written(cells.select("id", F.col(start).cast("double").alias("x")), "total")
-    front = total
-    while True:
-        front = written(edges.join(front, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x")), "front")
-        if not front.limit(1).count():
-            return total
-        total = written(total.join(front.withColumnRenamed("x", "_x"), "id", "left").select("id", (F.col("x") + F.coalesce("_x", F.lit(0.0))).alias("x")), "total")
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, root for all ``nodes`` (id); root is the least id reachable over ``edges`` (a, b).
 

@@ -16,7 +16,9 @@ register(
     lambda s, d: tidy(op.raster_calculator(_EXPR, {"a": raster(s, d, "dem"), "b": raster(s, d, "dem2")})),
     with_inputs(tidy_sql(f'SELECT a."row", a."col", {to_sql(_EXPR, {"a": "a.z", "b": "b.z"})} AS z FROM dem a JOIN dem2 b ON a."row" = b."row" AND a."col" = b."col"'), "dem", "dem2"),
 )
-local("image_integral_image", "dem2", op.integral_image, f'SELECT {RC}, (SELECT sum(e.z) FROM dem2 e WHERE e."row" <= d."row" AND e."col" <= d."col") AS z FROM dem2 d')
+_EVERY = 'g AS (SELECT CAST(r.i AS INT) AS "row", CAST(c.i AS INT) AS "col" FROM (SELECT unnest(range((SELECT min("row") FROM dem2), (SELECT max("row") FROM dem2) + 1)) AS i) r, (SELECT unnest(range((SELECT min("col") FROM dem2), (SELECT max("col") FROM dem2) + 1)) AS i) c)'
+# NoData counts as 0, and every cell of the extent has its sum
+register("image_integral_image", lambda s, d: tidy(op.integral_image(raster(s, d, "dem2"))), with_inputs(tidy_sql('SELECT g."row", g."col", coalesce((SELECT sum(e.z) FROM dem2 e WHERE e."row" <= g."row" AND e."col" <= g."col"), 0) AS z FROM g'), "dem2", more=_EVERY))
 register(
     "image_change_vector_analysis",
     lambda s, d: tidy(op.change_vector_analysis([raster(s, d, "dem"), raster(s, d, "dem2")], [raster(s, d, "dem_gappy"), raster(s, d, "zones")]), "magnitude", "direction"),

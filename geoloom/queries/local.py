@@ -50,8 +50,6 @@ local("data_new_raster_from_base", "dem", lambda r: op.new_raster(r.filter("z IS
 local("gis_create_plane", "dem", lambda r: op.create_plane(r.filter("z IS NOT NULL"), 15.0, 90.0, 3.0), f'SELECT {RC}, tan(radians(15.0)) * sin(radians(270.0)) * "col" - tan(radians(15.0)) * cos(radians(270.0)) * "row" + 3.0 AS z FROM dem')
 local("gis_raster_cell_assignment", "dem", lambda r: op.cell_assignment(r.filter("z IS NOT NULL"), "y"), f'SELECT {RC}, -("row" + 0.5) AS z FROM dem')
 local2("gis_clip_raster_to_raster", "dem", "flags", op.clip_to_raster, f"SELECT {RC}, a AS z FROM p WHERE b <> 0")
-local("stream_prune_strahler_order", "zones", lambda r: r.select("row", "col", F.when(F.col("z") > 1, F.col("z") - 1).alias("z")), f"SELECT {RC}, CASE WHEN z > 1 THEN z - 1 END AS z FROM zones")
-local("stream_extract_streams", "dem", lambda r: r.select("row", "col", F.when(F.col("z") > 60000, 1.0).alias("z")), f"SELECT {RC}, CASE WHEN z > 60000 THEN 1.0 END AS z FROM dem")
 
 
 def _stack(name: str, op_, sql: str) -> None:
