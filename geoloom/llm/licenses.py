@@ -57,20 +57,36 @@ def marks_of(w: list[str]) -> list[str]:
     return sorted(versions | {MARKS[x] for x in w if x in MARKS})
 
 
+def _split(text: Column) -> Column:
+    """The words as they stand; to split at gaps is faster than to match words."""
+    return F.filter(F.split(text, _GAP, -1), lambda w: w != "")
+
+
 def _words(text: Column) -> Column:
-    """The words, with A-Z alone lower-cased: the other letters that :func:`pyspark.sql.functions.lower` maps to a-z (as the Kelvin sign) stay."""
-    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(f"({_LETTER}+)"), F.lit(1))
+    """The words, with A-Z alone lower-cased: of a word with other letters (as the Kelvin sign) :func:`pyspark.sql.functions.lower` would change those too."""
+
+    def one(w: Column) -> Column:
+        return F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, ascii_uppercase, ascii_lowercase))
 
+    return F.transform(_split(text), one)
 
-def _marks(text: Column) -> Column:
-    """Place and mark of every such word of a text."""
+
+def _marks(words: Column) -> Column:
+    """n_words, and marked: place and mark of every such word; the few words that can be one are picked first."""
     known = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
 
-    def mark(w: Column, x: Column, i: Column) -> Column:
-        number = F.when((i > 0) & F.get(w, i - 1).isin("version", "v") & F.regexp_like(x, F.lit("^[0-9]+$")), F.concat(F.lit("version "), x))
-        return F.struct(i.alias("place"), F.coalesce(known[x], number).alias("mark"))
+    def picked(x: Column) -> Column:
+        return x.isin(*MARKS) | ((x >= "0") & (x < ":") & F.regexp_like(x, F.lit("^[0-9]+$")))
+
+    def mark(w: Column, m: Column) -> Column:
+        number = F.when((m["place"] > 0) & F.get(w, m["place"] - 1).isin("version", "v") & (m["word"] < ":"), F.concat(F.lit("version "), m["word"]))
+        return F.struct(m["place"].alias("place"), F.coalesce(known[m["word"]], number).alias("mark"))
+
+    def of(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda x, i: F.when(picked(x), F.struct(i.alias("place"), x.alias("word")))), lambda m: m.isNotNull())
+        return F.filter(F.transform(places, lambda m: mark(w, m)), lambda m: m["mark"].isNotNull())
 
-    return let(_words(text), lambda w: F.filter(F.transform(w, lambda x, i: mark(w, x, i)), lambda m: m["mark"].isNotNull()))
+    return F.struct(F.size(words).cast("long").alias("n_words"), of(words).alias("marked"))
 
 
 def chosen(found: Column, marks: Column) -> Column:
@@ -92,12 +108,14 @@ def base(docs: DataFrame) -> DataFrame:
 
     No phrase starts with words that end another, so one pattern finds all places.
     """
-    any_of = "(?i)(?:" + "|".join(_pattern(p) for p in PHRASES.values()) + ")"
+    starts = "".join(sorted({p[0] for p in PHRASES.values()}))  # most places are not one by their first letter
+    any_of = f"(?i)(?=[{starts}])(?:" + "|".join(_pattern(p) for p in PHRASES.values()) + ")"
     t, n = F.col("t"), F.col("n_base")
     rows = docs.withColumn("n_base", F.regexp_count(t, F.lit(any_of)).cast("long"))
     before = lambda how: F.when(n > 0, _count(F.regexp_extract(t, f"(?s)^({how})(?={any_of})", 1)))
     labels = F.filter(F.array(*[F.when((n > 0) & F.regexp_like(t, F.lit(f"(?i){_pattern(p)}")), F.lit(label)) for label, p in PHRASES.items()]), lambda x: x.isNotNull())
-    return rows.select("doc_id", "k", _count(t).alias("n_words"), "n_base", before(".*?").alias("first_word"), before(".*").alias("last_word"), labels.alias("base"), _marks(t).alias("marked"))
+    rows = rows.withColumn("w", let(_words(t), _marks))
+    return rows.select("doc_id", "k", "w.n_words", "n_base", before(".*?").alias("first_word"), before(".*").alias("last_word"), labels.alias("base"), "w.marked")
 
 
 def templates(spark: SparkSession, wordings: list[tuple[str, str]]) -> DataFrame:
