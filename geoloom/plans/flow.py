@@ -55,8 +55,12 @@ def settle(cells: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame:
                 else:
                     far_id.append(v)
                     far_x.append(give * weight)
-        wait = wait.assign(x=x, pending=pending, kind=np.where(done, 0, 1))
-        return pd.concat([wait, pd.DataFrame({"kind": 2, "id": far_id, "x": far_x})])[list(part.columns)].astype({"kind": "int32", "id": "int64", "pending": "Int32"}) if far_id else wait
+        wait = wait.assign(x=x, pending=pending, kind=np.where(done, 0, 1).astype("int32"))
+        if not far_id:
+            return wait
+        k = len(far_id)
+        sent = pd.DataFrame({"kind": np.full(k, 2, "int32"), "id": far_id, "x": far_x, "pending": np.zeros(k, "int32"), "start": 0.0, "loss": 0.0, "eff": 0.0, "dst": [[]] * k, "w": [[]] * k})
+        return pd.concat([wait, sent[wait.columns]])
 
     settled: list[DataFrame] = []
     while True:
