@@ -229,7 +229,8 @@ def _places(docs: DataFrame) -> DataFrame:
     The texts are hashed for the counts and again for the places: a table of all
     places would cost more disk than the second pass costs time.
     """
-    return table(_seeds(docs).join(_frequent(docs), F.col("a") == F.col("b"), "left_semi"), "places")
+    frequent = table(_frequent(docs), "frequent")  # so that the join is a plain one, split where an anchor is frequent
+    return table(_seeds(docs).join(frequent, F.col("a") == F.col("b"), "left_semi"), "places")
 
 
 def _found(places: DataFrame) -> DataFrame:
