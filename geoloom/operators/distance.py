@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.grids import spread
+from geoloom.functions.grids import AROUND, spread
 from geoloom.plans.lineage import written
-from geoloom.plans.stencil import TILE, tiled
+from geoloom.plans.stencil import TILE, neighbourhood, tiled
 
 Raster = DataFrame
 
@@ -95,3 +95,31 @@ def cost_distance(source: Raster, cost: Raster, tile: int = TILE) -> Raster:
         state = written(tiled(state.select("row", "col", "z", "w"), 1, tile).groupBy("tr", "tc").applyInPandas(run, "row int, col int, z double, w double, fell boolean"), "costs")
         if not state.filter("fell").limit(1).count():
             return state.filter(F.col("w") < float("inf")).select("row", "col", F.col("w").alias("z"))
+
+
+def backlink(accumulated: Raster, cost: Raster) -> Raster:
+    """Pointer (codes of :mod:`geoloom.operators.hydro`) to the neighbour a least-cost path comes from; 0 at sources. Costs must be over 0."""
+    j = cost.select("row", "col", F.col("z").alias("c")).join(accumulated, ["row", "col"], "left")
+    n = neighbourhood(j)
+    n = neighbourhood(n.select("row", "col", "c", "z", F.col("n").alias("away")), value="c").filter("z IS NOT NULL")
+    ways = []
+    for i, (dr, dc, at) in enumerate(AROUND):
+        step = (F.col("c") + F.get("n", F.lit(at))) / 2 * (2**0.5 if dr and dc else 1.0)
+        ways.append(F.struct((F.get("away", F.lit(at)) + step).alias("t"), F.lit(i).alias("i")))
+    best = F.array_min(F.filter(F.array(*ways), lambda w: w["t"].isNotNull()))
+    return n.select("row", "col", F.when(F.col("z") == 0, 0.0).otherwise(F.pow(F.lit(2.0), best["i"])).alias("z"))
+
+
+def cost_allocation(source: Raster, pointer: Raster) -> Raster:
+    """The value of the source that each cell's back-link path ends at."""
+    from geoloom.operators.hydro import watershed
+
+    return watershed(pointer, source)
+
+
+def cost_pathway(destination: Raster, pointer: Raster, zero_background: bool = False) -> Raster:
+    """How many destinations' paths pass a cell; elsewhere NoData or 0."""
+    from geoloom.operators.hydro import trace_downslope_flowpaths
+
+    t = trace_downslope_flowpaths(pointer, destination)
+    return t.select("row", "col", F.coalesce("z", F.lit(0.0)).alias("z")) if zero_background else t

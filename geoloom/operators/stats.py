@@ -290,3 +290,36 @@ def random_sample(base: Raster, n: int = 1000, seed: int = 0) -> DataFrame:
     k = F.xxhash64("row", "col", F.lit(seed))
     picked = base.filter("z IS NOT NULL").orderBy(k, "row", "col").limit(n)
     return picked.select("row", "col", F.row_number().over(Window.orderBy(k, "row", "col")).cast("double").alias("z"))
+
+
+def trend_surface_points(points: DataFrame, base: Raster, order: int = 1) -> Raster:
+    """A polynomial of x and y fitted to z of the points, at the centres of the base's cells (x = col + 0.5, y = row + 0.5)."""
+    powers = [(i, j) for i in range(order + 1) for j in range(order + 1 - i)]
+    k = len(powers)
+    top = points.agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y")).first()
+    sx, sy = float(top["x"] or 1), float(top["y"] or 1)
+    terms = lambda x, y: [F.pow(x / sx, F.lit(float(i))) * F.pow(y / sy, F.lit(float(j))) for i, j in powers]
+    own = terms(F.col("x"), F.col("y"))
+    got = points.filter("z IS NOT NULL").agg(*[F.sum(own[a] * own[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a + 1)], *[F.sum(own[a] * F.col("z")).alias(f"v{a}") for a in range(k)]).first()
+    m = np.array([[got[f"m{max(a, b)}_{min(a, b)}"] for b in range(k)] for a in range(k)], float)
+    beta = np.linalg.lstsq(m, np.array([got[f"v{a}"] for a in range(k)], float), rcond=None)[0]
+    at = terms(F.col("col") + 0.5, F.col("row") + 0.5)
+    return base.select("row", "col", sum((t * float(c) for t, c in zip(at, beta, strict=True)), F.lit(0.0)).alias("z"))
+
+
+def correlation_neighbourhood(a: Raster, b: Raster, size: int = 11) -> DataFrame:
+    """row, col, z: Pearson's r of the two rasters in the window around each cell; NULL where one of them does not vary.
+
+    Values are taken about the rasters' means, so that the window sums lose no digits.
+    """
+    from geoloom.plans.stencil import dense, focal
+
+    j = pair(a, b)
+    both = j.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    x = j.crossJoin(F.broadcast(both)).select("row", "col", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a") - F.col("ma")).alias("x"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b") - F.col("mb")).alias("y"))
+    u, v = F.col("x"), F.col("y")
+    f = focal(dense(x), size // 2, size // 2, {"n": F.when(u.isNotNull(), 1), "sx": u, "sy": v, "xx": u * u, "yy": v * v, "xy": u * v}, {}, {})
+    n = F.col("n")
+    cov = F.col("xy") - F.col("sx") * F.col("sy") / n
+    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("yy") - F.col("sy") * F.col("sy") / n
+    return f.select("row", "col", F.when(u.isNotNull() & (vx > 1e-6) & (vy > 1e-6), cov / F.sqrt(vx * vy)).alias("z"))

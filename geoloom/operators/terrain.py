@@ -317,3 +317,35 @@ def slope_vs_elevation(dem: Raster, bins: int = 100) -> DataFrame:
     span = dem.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     b = F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
     return dem.filter(F.col("z").isNotNull()).join(s, ["row", "col"]).crossJoin(F.broadcast(span)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("slope"))
+
+
+def convergence_index(dem: Raster) -> Raster:
+    """Mean angle between the neighbours' aspects and their direction to the cell, less 90: -90 where all converge."""
+    from math import atan2, degrees
+
+    from geoloom.functions.grids import AROUND
+
+    n = neighbourhood(surface(dem, "aspect"))
+    gaps = []
+    for dr, dc, at in AROUND:
+        towards = degrees(atan2(-dc, dr)) % 360  # compass direction from the neighbour to the cell
+        a = F.get("n", F.lit(at))
+        gaps.append(F.when(a >= 0, F.abs(F.pmod(a - towards + 180, F.lit(360.0)) - 180)))
+    known = F.filter(F.array(*gaps), lambda g: g.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda s, g: s + g) / F.nullif(F.size(known), F.lit(0))
+    return n.select("row", "col", F.when(F.col("z").isNotNull(), F.coalesce(mean - 90, F.lit(0.0))).alias("z"))
+
+
+def profile(lines: DataFrame, dem: Raster, step: float = 1.0) -> DataFrame:
+    """fid, distance, z: the cell under each line every ``step`` units (x from col, y from row)."""
+    from pyspark.sql import Window
+
+    from geoloom.operators.vector import segments
+
+    w = Window.partitionBy("fid").orderBy("k")
+    s = segments(lines).withColumn("d", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).filter("d > 0")
+    s = s.withColumn("b", F.sum("d").over(w)).withColumn("a", F.col("b") - F.col("d"))
+    at = s.withColumn("i", F.explode(F.sequence(F.ceil(F.col("a") / step), F.ceil(F.col("b") / step)))).withColumn("distance", F.col("i") * step).filter("distance >= a AND distance < b")
+    t = (F.col("distance") - F.col("a")) / F.col("d")
+    cells = at.select("fid", "distance", F.floor(F.col("y1") + t * (F.col("y2") - F.col("y1"))).cast("int").alias("row"), F.floor(F.col("x1") + t * (F.col("x2") - F.col("x1"))).cast("int").alias("col"))
+    return cells.join(dem, ["row", "col"]).select("fid", "distance", "z")

@@ -316,3 +316,69 @@ def rectangular_grid(min_x: float, min_y: float, max_x: float, max_y: float, wid
     at = spark.range(nx * ny).select(F.col("id").alias("fid"), (F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
     corner = lambda a, b: F.struct((min_x + (F.col("i") + a) * width).alias("x"), (min_y + (F.col("j") + b) * height).alias("y"))
     return at.select("fid", F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("parts"))
+
+
+def hexagonal_grid(min_x: float, min_y: float, max_x: float, max_y: float, width: float, spark) -> DataFrame:
+    """A lattice of hexagons (pointy top, ``width`` across flats) whose centres start at the lower left corner."""
+    side = width / 3**0.5
+    nx, ny = int(-(-(max_x - min_x) // width)) + 1, int(-(-(max_y - min_y) // (1.5 * side))) + 1
+    at = spark.range(nx * ny).select(F.col("id").alias("fid"), (F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
+    x, y = min_x + (F.col("i") + (F.col("j") % 2) * 0.5) * width, min_y + F.col("j") * (1.5 * side)
+    corner = lambda k: F.struct((x + side * F.cos(F.lit(3.141592653589793 / 6 * (2 * k + 1)))).alias("x"), (y + side * F.sin(F.lit(3.141592653589793 / 6 * (2 * k + 1)))).alias("y"))
+    return at.select("fid", F.array(F.array(*[corner(k) for k in range(6)])).alias("parts"))
+
+
+def merge_with_csv(features: DataFrame, key: str, path: str, csv_key: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """``features`` with the columns of a CSV table (header, inferred types), joined as :func:`join_tables` does."""
+    table = features.sparkSession.read.csv(path, header=True, inferSchema=True)
+    return join_tables(features, key, table.select(csv_key, *columns) if columns else table, csv_key, order)
+
+
+def minimum_bounding_box(features: DataFrame, criterion: str = "area") -> DataFrame:
+    """fid, long, short, direction (degrees clockwise from north) and parts of the least bounding rectangle."""
+
+    def of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(xs, ys, strict=True):
+            corners, long, short, direction = shapes.bounding_box(list(zip(x.tolist(), y.tolist(), strict=True)), criterion)
+            rows.append((long, short, shapes.compass(direction), [float(p[0]) for p in corners], [float(p[1]) for p in corners]))
+        return pd.DataFrame(rows, columns=["long", "short", "direction", "x", "y"])
+
+    box = features.select("fid", F.pandas_udf(of, "long double, short double, direction double, x array<double>, y array<double>")(*_coordinates()).alias("b"))
+    return box.select("fid", "b.long", "b.short", "b.direction", F.array(F.arrays_zip(F.col("b.x").alias("x"), F.col("b.y").alias("y"))).alias("parts"))
+
+
+def polygon_axes(polygons: DataFrame, which: str = "long") -> DataFrame:
+    """fid, parts: the long or short axis of each polygon's bounding box as a line through its middle."""
+    b = minimum_bounding_box(polygons).filter("size(parts[0]) = 4")
+    p = lambda i: F.get(F.col("parts")[0], F.lit(i))
+    mid = lambda i, j: F.struct(*[((p(i)[c] + p(j)[c]) / 2).alias(c) for c in "xy"])
+    first = F.hypot(p(1)["x"] - p(0)["x"], p(1)["y"] - p(0)["y"]) >= F.hypot(p(2)["x"] - p(1)["x"], p(2)["y"] - p(1)["y"])
+    along, across = F.array(mid(0, 3), mid(1, 2)), F.array(mid(0, 1), mid(3, 2))
+    line = F.when(first if which == "long" else ~first, along).otherwise(across)
+    return b.select("fid", F.array(line).alias("parts"))
+
+
+def deviation_from_regional_direction(polygons: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """fid, deviation: degrees (0 to 90) between a polygon's axis and the regional one.
+
+    The regional axis is the mean of the doubled angles of polygons with an elongation over ``threshold``, weighted by length.
+    """
+    b = minimum_bounding_box(polygons).select("fid", "direction", "long", F.when(F.col("long") > 0, 1 - F.col("short") / F.col("long")).otherwise(0.0).alias("e"))
+    twice = F.radians(2 * F.col("direction"))
+    r = b.filter(F.col("e") > threshold).agg(F.sum(F.col("long") * F.sin(twice)).alias("s"), F.sum(F.col("long") * F.cos(twice)).alias("c"))  # one row
+    mean = F.degrees(F.atan2("s", "c")) / 2
+    gap = F.abs(F.pmod(F.col("direction") - mean + 90, F.lit(180.0)) - 90)
+    return b.crossJoin(F.broadcast(r)).select("fid", gap.alias("deviation"))
+
+
+def split_lines(lines: DataFrame, length: float) -> DataFrame:
+    """fid, piece, x1, y1, x2, y2: the segments of every line cut where its length reaches multiples of ``length``."""
+    w = Window.partitionBy("fid").orderBy("k")
+    s = segments(lines).withColumn("d", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).filter("d > 0")
+    s = s.withColumn("b", F.sum("d").over(w)).withColumn("a", F.col("b") - F.col("d"))
+    s = s.withColumn("piece", F.explode(F.sequence(F.floor(F.col("a") / length), F.ceil(F.col("b") / length) - 1)))
+    lo, hi = F.greatest("a", F.col("piece") * length), F.least("b", (F.col("piece") + 1) * length)
+    t = lambda at: (at - F.col("a")) / F.col("d")
+    on = lambda at, p, q: F.col(p) + t(at) * (F.col(q) - F.col(p))
+    return s.filter(hi > lo).select("fid", "piece", on(lo, "x1", "x2").alias("x1"), on(lo, "y1", "y2").alias("y1"), on(hi, "x1", "x2").alias("x2"), on(hi, "y1", "y2").alias("y2"))

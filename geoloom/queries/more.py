@@ -16,13 +16,6 @@ for _name, _fn, _sql, _d in (
     ("lidar_nearest_neighbour_gridding", lambda p: po.nearest_gridding(p, 40.0, 30.0), "min({'d': d, 'v': v}).v", 4),
 ):
     register(_name, lambda s, d, f=_fn, k=_d: tidy(f(lidar(s, d)), digits=k), with_inputs(tidy_sql(f'SELECT "row", "col", {_sql} AS z FROM n GROUP BY 1, 2', digits=_d), "lidar", more=_L))
-register(
-    "lidar_classify_overlap_points",
-    lambda s, d: po.to_cells(lidar(s, d), 50.0).join(po.to_cells(lidar(s, d), 50.0).groupBy("row", "col").agg(F.min("point_source_id").alias("first")), ["row", "col"]).groupBy(F.when(F.col("point_source_id") != F.col("first"), 12).otherwise(F.col("classification")).alias("classification")).agg(F.count(F.lit(1)).alias("n")),
-    with_inputs("SELECT CASE WHEN point_source_id <> min(point_source_id) OVER (PARTITION BY floor(y / 50), floor(x / 50)) THEN 12 ELSE classification END AS classification, 1 AS one FROM lidar", "lidar").replace("WITH RECURSIVE", "SELECT classification, count(*) AS n FROM (WITH RECURSIVE") + ") q GROUP BY 1",
-)
-register("lidar_colourize", lambda s, d: rounded(po.to_cells(lidar(s, d), 40.0).join(raster(s, d, "dem").withColumnRenamed("z", "colour"), ["row", "col"]).select("x", "y", "colour")), with_inputs(f'SELECT x, y, {_r("t.z", "colour")} FROM lidar l JOIN dem t ON t."row" = floor(l.y / 40) AND t."col" = floor(l.x / 40)', "lidar", "dem"))
-register("lidar_las_to_ascii", lambda s, d: lidar(s, d).select(F.concat_ws(",", F.col("x").cast("long"), F.col("y").cast("long"), "intensity", "return_no").alias("line")), with_inputs("SELECT CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ',' || intensity || ',' || return_no AS line FROM lidar", "lidar"))
 register("data_export_table_to_csv", lambda s, d: points(s, d).select("fid", "cls"), with_inputs("SELECT fid, cls FROM points", "points"))
 register("stats_attribute_correlation", lambda s, d: rounded(points(s, d).agg(F.corr("x", "z").alias("xz"), F.corr("x", "y").alias("xy"))), with_inputs(f"SELECT {_r('corr(x, z)', 'xz')}, {_r('corr(x, y)', 'xy')} FROM points", "points"))
 register("stats_attribute_scattergram", lambda s, d: rounded(points(s, d).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("z", "x").alias("slope"), F.regr_intercept("z", "x").alias("intercept"), F.regr_r2("z", "x").alias("r2")), 3), with_inputs(f"SELECT count(*) AS n, {_r('regr_slope(z, x)', 'slope', 3)}, {_r('regr_intercept(z, x)', 'intercept', 3)}, {_r('regr_r2(z, x)', 'r2', 3)} FROM points", "points"))

@@ -51,17 +51,13 @@ def _cloud(name: str, fn, sql: str, digits: int = 4) -> None:
 
 _ALL = "x, y, z, intensity, return_no, classification, point_source_id"
 _cloud("elevation_slice", lambda p: op.elevation_slice(p, 20000.0, 25000.0), f"SELECT {_ALL.replace('z,', 'round(z + 1e-7, 4) AS z,')} FROM lidar WHERE z BETWEEN 20000 AND 25000")
-_cloud("filter_classes", lambda p: p.filter(~F.col("classification").isin(2, 5)).select("x", "y", "classification"), "SELECT x, y, classification FROM lidar WHERE classification NOT IN (2, 5)")
-_cloud("join", lambda p: p.unionByName(p.filter("return_no = 1")).groupBy("return_no").agg(F.count(F.lit(1)).alias("n")), "SELECT return_no, count(*) * (CASE WHEN return_no = 1 THEN 2 ELSE 1 END) AS n FROM lidar GROUP BY 1")
 _cloud("info", op.info, f"SELECT classification, return_no, count(*) AS n, {_r('min(z)', 'z0', 4)}, {_r('max(z)', 'z1', 4)}, {_r('avg(intensity)', 'intensity', 4)} FROM lidar GROUP BY 1, 2")
 _cloud("shift", lambda p: op.shift(p, 1.5, -2.0, 10.0).groupBy("return_no").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("z").alias("z")), f"SELECT return_no, {_r('min(x) + 1.5', 'x', 4)}, {_r('max(y) - 2', 'y', 4)}, {_r('max(z) + 10', 'z', 4)} FROM lidar GROUP BY 1")
 for _m, _o in (("lowest", "z, x, y, intensity"), ("highest", "z DESC, x, y, z, intensity"), ("nearest", "power(x - (c + 0.5) * 20, 2) + power(y - (r + 0.5) * 20, 2), x, y, z, intensity")):
     _cloud(f"thin_{_m}", lambda p, m=_m: op.thin(p, 20.0, m, ["x", "y", "z", "intensity"]).select("x", "y", "z", "intensity"), f"SELECT x, y, {_r('z', 'z', 4)}, intensity FROM (SELECT *, floor(x / 20) AS c, floor(y / 20) AS r FROM lidar) q QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY {_o}) = 1")
 _cloud("thin_high_density", lambda p: op.thin_high_density(p, 20.0, 3, ["x", "y", "z", "intensity"]).select("x", "y", "z", "intensity"), f"SELECT x, y, {_r('z', 'z', 4)}, intensity FROM lidar QUALIFY row_number() OVER (PARTITION BY floor(y / 20), floor(x / 20) ORDER BY x, y, z, intensity) <= 3")
 _cloud("remove_duplicates", lambda p: op.remove_duplicates(p).select("x", "y", "z"), f"SELECT x, y, {_r('min(z)', 'z', 4)} FROM lidar GROUP BY 1, 2")
-_cloud("tile", lambda p: op.to_cells(p, 100.0).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"), f"SELECT {_C.format(100.0)}, count(*) AS n FROM lidar GROUP BY 1, 2 HAVING count(*) >= 2")
 _cloud("tile_footprint", lambda p: op.to_cells(p, 100.0).groupBy("row", "col").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")), f"SELECT {_C.format(100.0)}, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM lidar GROUP BY 1, 2")
-_cloud("histogram", lambda p: p.groupBy(F.floor(F.col("intensity") / 5).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(intensity / 5.0) AS INT) AS bin, count(*) AS n FROM lidar GROUP BY 1")
 _DIST = "x BETWEEN t.x - 3 AND t.x + 3 AND y BETWEEN t.y - 3 AND t.y + 3 AND sqrt(power(t.x - p.x, 2) + power(t.y - p.y, 2)) <= 3".replace("x BETWEEN", "p.x BETWEEN").replace("AND y BETWEEN", "AND p.y BETWEEN")
 _cloud("height_above_ground", lambda p: op.height_above_ground(p, 3.0).select("x", "y", "z", "height"), f"SELECT l.x, l.y, {_r('l.z', 'z', 4)}, {_r('l.z - m.g', 'height', 4)} FROM lidar l LEFT JOIN (SELECT t.x, t.y, min({{'d': sqrt(power(t.x - p.x, 2) + power(t.y - p.y, 2)), 'z': p.z}}).z AS g FROM (SELECT DISTINCT x, y FROM lidar) t JOIN lidar p ON p.classification = 2 AND {_DIST} GROUP BY 1, 2) m ON m.x = l.x AND m.y = l.y")
 _cloud("remove_outliers", lambda p: op.remove_outliers(p, 3.0, 30000.0).select("x", "y", "z"), f"SELECT l.x, l.y, {_r('l.z', 'z', 4)} FROM lidar l JOIN (SELECT t.x, t.y, sum(p.z) AS s, count(*) AS n FROM (SELECT DISTINCT x, y FROM lidar) t JOIN lidar p ON {_DIST} GROUP BY 1, 2) m ON m.x = l.x AND m.y = l.y WHERE n < 2 OR abs(l.z - (s - l.z) / (n - 1)) <= 30000")
