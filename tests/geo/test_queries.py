@@ -17,6 +17,15 @@ CHOSEN = [
     "stats_zonal_statistics", "stats_kappa_index", "stats_wilcoxon_signed_rank_test", "stats_image_autocorrelation", "math_quantiles", "plugin_otsu_thresholding",
     "gis_euclidean_allocation", "gis_idw_interpolation", "plugin_heat_map_quartic", "lidar_point_stats", "lidar_thin_nearest", "lidar_height_above_ground", "gis_vector_hex_binning",
     "gis_polygon_area", "gis_centroid_vector", "gis_medoid", "gis_smooth_vectors", "gis_line_intersections", "gis_clip", "data_vector_polygons_to_raster", "data_join_tables",
+    # NoData of the sparse grid
+    "image_min_max_contrast_stretch", "image_standard_deviation_contrast_stretch", "image_percentage_contrast_stretch", "image_integral_image",
+    "image_balance_contrast_enhancement", "image_direct_decorrelation_stretch", "image_gaussian_contrast_stretch", "image_panchromatic_sharpening", "image_mosaic_with_feathering", "image_corner_detection", "image_thicken_raster_line",
+    "gis_raster_perimeter", "gis_narrowness_index", "gis_shape_complexity_index_raster", "data_raster_to_vector_polygons",
+    "hydro_average_upslope_flowpath_length", "hydro_average_flowpath_slope", "hydro_longest_flowpath", "hydro_unnest_basins", "hydro_find_outlet", "hydro_flatten_lakes", "hydro_burn_streams_at_roads", "hydro_breach_single_cell_pits",
+    "terrain_downslope_index", "terrain_max_branch_length", "terrain_profile", "plugin_edge_contamination", "stream_long_profile_from_points", "stream_raster_streams_to_vector", "stream_extract_valleys",
+    "lidar_clip_to_polygon", "lidar_kappa_index", "lidar_ground_point_filter", "lidar_classify_overlap_points", "plugin_individual_tree_detection",
+    "stats_image_correlation_neighbourhood_analysis", "math_trend_surface_vector_points", "data_vector_lines_to_raster", "plugin_split_vector_lines", "gis_create_hexagonal_vector_grid", "data_merge_table_with_csv",
+    "gis_intersect", "gis_union", "gis_dissolve", "stats_two_sample_ks_test",
 ]
 
 
