@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import radians, tan
+from math import cos, radians, sin, tan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,3 +160,35 @@ def individual_trees(points: Points, radius: float, least_height: float = 0.0) -
     higher = (F.col("p_z") > F.col("z")) | ((F.col("p_z") == F.col("z")) & (F.struct("p_x", "p_y") < F.struct("x", "y")))
     lower = within(p, p, radius).filter(higher).select("x", "y").distinct()
     return p.join(lower, ["x", "y"], "left_anti")
+
+
+def hillshade(points: Points, radius: float, azimuth: float = 315.0, altitude: float = 30.0) -> DataFrame:
+    """x, y, z, shade: light (0 to 255) on the plane through the points within ``radius``; NULL where there is none."""
+    n = normal_vectors(points, radius)
+    a, h = radians(azimuth), radians(altitude)
+    light = F.col("nx") * (sin(a) * cos(h)) + F.col("ny") * (cos(a) * cos(h)) + F.col("nz") * sin(h)
+    return n.select("x", "y", "z", F.when(F.col("nz").isNotNull(), F.round(F.greatest(light, F.lit(0.0)) * 255)).alias("shade"))
+
+
+def segmentation(points: Points, radius: float, norm_diff: float = 10.0, height_diff: float = 1.0) -> DataFrame:
+    """x, y, z, segment: places connected over steps of at most ``radius`` with normals at most ``norm_diff`` degrees apart and at
+    most ``height_diff`` off each other's planes; segments are numbered by their least place. Places without a plane are alone."""
+    from geoloom.plans.graph import components
+    from geoloom.plans.lineage import written
+    from geoloom.plans.ranking import ranked
+
+    n = written(ranked(normal_vectors(points, radius), [F.col("x"), F.col("y"), F.col("z")], "id"), "normals")
+    j = within(n, n, radius).filter("id < p_id AND nz IS NOT NULL AND p_nz IS NOT NULL")
+    dot = sum((F.col(f"n{c}") * F.col(f"p_n{c}") for c in "xyz"), F.lit(0.0))
+    off = lambda p: F.abs(sum(((F.col(f"p_{c}") - F.col(c)) * F.col(f"{p}n{c}") for c in "xyz"), F.lit(0.0)))
+    near = j.filter((dot >= cos(radians(norm_diff))) & (off("") <= height_diff) & (off("p_") <= height_diff))
+    roots = components(n.select("id"), near.select(F.col("id").alias("a"), F.col("p_id").alias("b"))).withColumnRenamed("id", "_i")
+    number = ranked(roots.select(F.col("root").alias("_r")).distinct(), [F.col("_r")], "segment")
+    return n.join(roots, F.col("id") == F.col("_i")).join(number, F.col("root") == F.col("_r")).select("x", "y", "z", "segment")
+
+
+def attribute_correlation_neighbourhood(points: DataFrame, first: str, second: str, radius: float, least: int = 3, key: str = "fid") -> DataFrame:
+    """key, n, r: Pearson's r of two columns over the points within ``radius`` of each point; NULL for fewer than ``least``."""
+    near = within(points.select(key, "x", "y"), points.select("x", "y", F.col(first).alias("first"), F.col(second).alias("second")), radius)
+    r = near.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.corr("p_first", "p_second").alias("r"))
+    return r.select(key, "n", F.when(F.col("n") >= least, F.nanvl("r", F.lit(None).cast("double"))).alias("r"))

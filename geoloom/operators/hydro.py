@@ -335,3 +335,14 @@ def sink(dem: Raster) -> Raster:
     """Depressions, each with a number of its own."""
     deep = dense(depth_in_sink(dem))
     return clump(deep.select("row", "col", F.when(F.col("z").isNotNull(), 1.0).alias("z")))
+
+
+def map_off_terrain_objects(dem: Raster, max_slope: float = 40.0, min_size: int = 1) -> Raster:
+    """Patches that no step steeper than ``max_slope`` degrees leads into, numbered in row order; those of fewer than ``min_size`` cells are 0."""
+    n = neighbourhood(dem).filter(F.col("z").isNotNull())
+    gentle = [F.when(F.abs(F.get("n", F.lit(at)) - F.col("z")) <= F.tan(F.radians(F.lit(max_slope))) * sqrt(dr * dr + dc * dc), cell_id(F.col("row") + dr, F.col("col") + dc)) for dr, dc, at in AROUND]
+    cells = n.select(cell_id().alias("id"), F.filter(F.array(*gentle), lambda x: x.isNotNull()).alias("to"))
+    roots = written(components(cells.select("id"), cells.select(F.col("id").alias("a"), F.explode("to").alias("b"))), "roots")
+    large = roots.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("_r")
+    number = ranked(large, [F.col("_r")])
+    return _by_id(roots.join(number, F.col("root") == F.col("_r"), "left"), F.coalesce("n", F.lit(0)))

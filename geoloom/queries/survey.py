@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import cloud, distance, stats, terrain
+from geoloom.operators import cloud, contours, distance, hydro, stats, terrain
 from geoloom.operators import vector as vec
 from geoloom.plans.lineage import written
 from geoloom.queries.base import lidar, points, raster, register, table, tidy, tidy_sql, with_inputs
@@ -102,3 +102,14 @@ def _csv(s, d):
 
 
 register("data_merge_table_with_csv", lambda s, d: vec.merge_with_csv(table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", _csv(s, d), "n_nationkey", ["n_regionkey"], ["n_regionkey"]).select("c_custkey", F.col("n_regionkey").cast("long").alias("region")), "SELECT c_custkey, CAST(n_regionkey AS BIGINT) AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+_PTS = "p.x BETWEEN l.x - 20 AND l.x + 20 AND p.y BETWEEN l.y - 20 AND l.y + 20 AND sqrt(power(l.x - p.x, 2) + power(l.y - p.y, 2)) <= 20"
+register("stats_attribute_correlation_neighbourhood_analysis", lambda s, d: rounded(cloud.attribute_correlation_neighbourhood(points(s, d), "y", "x", 20.0), 4).filter("n > 3"), with_inputs(f"SELECT fid, n, {_r('r', 'r', 4)} FROM (SELECT l.fid, count(*) AS n, corr(p.y, p.x) AS r FROM points l JOIN points p ON {_PTS} GROUP BY 1) q WHERE n > 3", "points"))
+_cloud("hillshade", lambda s, d: cloud.hillshade(lidar(s, d).withColumn("z", F.col("z") / 10000), 4.0), None)
+_cloud("segmentation", lambda s, d: cloud.segmentation(lidar(s, d).withColumn("z", F.col("z") / 10000), 4.0, 20.0, 2.0), None)
+register("terrain_map_off_terrain_objects", lambda s, d: tidy(hydro.map_off_terrain_objects(raster(s, d, "dem").select("row", "col", (F.col("z") / 10000).alias("z")), 60.0, 5)))
+_CORNER = "sq AS (SELECT a.\"row\" AS r, a.\"col\" AS c, a.z AS z0, b.z AS z1, e.z AS z2, g.z AS z3 FROM dem a LEFT JOIN dem b ON b.\"row\" = a.\"row\" AND b.\"col\" = a.\"col\" + 1 LEFT JOIN dem e ON e.\"row\" = a.\"row\" + 1 AND e.\"col\" = a.\"col\" + 1 LEFT JOIN dem g ON g.\"row\" = a.\"row\" + 1 AND g.\"col\" = a.\"col\"), tri AS (SELECT 0 AS ax, 0 AS ay, z0 AS az, 1 AS bx, 0 AS by_, z1 AS bz, 1 AS cx, 1 AS cy, z2 AS cz FROM sq UNION ALL SELECT 0, 0, z0, 1, 1, z2, 0, 1, z3 FROM sq), lv AS (SELECT tri.*, CAST(k * 20000 AS DOUBLE) AS v FROM tri, range(0, 8) t(k) WHERE az IS NOT NULL AND bz IS NOT NULL AND cz IS NOT NULL), cr AS (SELECT v, list_filter([CASE WHEN (az >= v) <> (bz >= v) THEN {'x': ax + (v - az) / (bz - az) * (bx - ax), 'y': ay + (v - az) / (bz - az) * (by_ - ay)} END, CASE WHEN (bz >= v) <> (cz >= v) THEN {'x': bx + (v - bz) / (cz - bz) * (cx - bx), 'y': by_ + (v - bz) / (cz - bz) * (cy - by_)} END, CASE WHEN (az >= v) <> (cz >= v) THEN {'x': ax + (v - az) / (cz - az) * (cx - ax), 'y': ay + (v - az) / (cz - az) * (cy - ay)} END], lambda e: e IS NOT NULL) AS e FROM lv)"
+register(
+    "terrain_contours_from_raster",
+    lambda s, d: rounded(contours.contours(raster(s, d, "dem"), 20000.0).groupBy("level").agg(F.sum("segments").alias("segments"), F.sum("length").alias("length")), 4),
+    with_inputs(f"SELECT v AS level, count(*) AS segments, {_r('sum(sqrt(power(e[1].x - e[2].x, 2) + power(e[1].y - e[2].y, 2)))', 'length', 4)} FROM cr WHERE len(e) = 2 GROUP BY 1", "dem", more=_CORNER),
+)
