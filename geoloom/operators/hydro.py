@@ -291,7 +291,7 @@ def fill_depressions(dem: Raster, increment: float = 0.0, tile: int = TILE) -> R
     """Raises every cell to its least spill level towards the edge of the data.
 
     Each round floods every tile from its edge cells and from the levels its neighbours reached; it ends
-    when no level falls. A tile is a bounded group; only levels cross tiles.
+    when no level falls. A tile is a bounded group; only levels cross tiles. NoData cells stay, as NULL.
     """
     n = neighbourhood(dem, tile=tile)
     edge = F.exists("n", lambda x: x.isNull())
