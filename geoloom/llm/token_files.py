@@ -11,6 +11,7 @@ twice leaves one file.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -79,6 +80,7 @@ class Pieces:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already; the library's own threads would wait for each other
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
