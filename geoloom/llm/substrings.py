@@ -252,7 +252,8 @@ def _late(segments: DataFrame) -> DataFrame:
     windows = distinct.select("a", "s", F.posexplode("w").alias("i", "v"), "first").select("a", "s", "i", "v", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("i")).alias("start")).alias("here"))
     earliest = windows.groupBy("a", "v").agg(F.min("here").alias("least"))
     late = windows.join(earliest, ["a", "v"]).filter("here <> least").groupBy("a", "s").agg(F.collect_list("i").alias("late"))  # at most LENGTH of a segment
-    known = distinct.select("a", "s", "first", F.size("w").alias("c")).join(late, ["a", "s"], "left")
+    # a table, so that the join on it is a plain one, split where a segment is frequent
+    known = table(distinct.select("a", "s", "first", F.size("w").alias("c")).join(late, ["a", "s"], "left"), "known")
     found = segments.select("doc_id", "k", "start", "a", "s").join(known, ["a", "s"])
     # any but the first of equal segments loses all its windows, the first only those found elsewhere before
     is_first = F.col("first") == F.struct("doc_id", "start")
