@@ -7,6 +7,9 @@ raster and a number.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: name: expression of z.
 UNARY: dict[str, str] = {
     "absolute_value": "abs(z)",
@@ -77,3 +80,8 @@ BINARY: dict[str, str] = {
     "sediment_transport_index": "1.4 * power(a / 22.13, 0.4) * power(sin(radians(b)) / 0.0896, 1.3)",
     "normalized_difference_index": "CASE WHEN a + b <> 0 THEN (a - b) / (a + b) END",
 }
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by the rules of floating point: infinite or NaN where b is zero, which Spark's own division makes an error."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.cells import quotient
 from geoloom.operators.local import compose, ihs_to_rgb, rgb_to_ihs, split
 from geoloom.operators.stats import _with_cdf
 
@@ -37,11 +38,11 @@ def _clamped(value: Column, high: float = 255.0) -> Column:
 
 
 def balance_contrast_enhancement(band: Raster, mean: float = 100.0) -> Raster:
-    """A parabola that takes the band's least value to 0, its largest to 255 and its mean to ``mean``."""
+    """A parabola that takes the band's least value to 0, its largest to 255 and its mean to ``mean``; NaN where the band does not vary."""
     z = F.col("z")
     s = band.agg(F.min(z).alias("l"), F.max(z).alias("h"), F.avg(z).alias("e"), F.avg(z * z).alias("s"))
-    b = F.expr(f"(h * h * {mean} - s * 255.0 + l * l * (255.0 - {mean})) / (2 * (h * {mean} - e * 255.0 + l * (255.0 - {mean})))")
-    s = s.withColumn("b", b).withColumn("a", F.expr("255.0 / ((h - l) * (h + l - 2 * b))")).withColumn("c", F.expr("-a * (l - b) * (l - b)"))
+    b = quotient(F.expr(f"h * h * {mean} - s * 255.0 + l * l * (255.0 - {mean})"), F.expr(f"2 * (h * {mean} - e * 255.0 + l * (255.0 - {mean}))"))
+    s = s.withColumn("b", b).withColumn("a", quotient(F.lit(255.0), F.expr("(h - l) * (h + l - 2 * b)"))).withColumn("c", F.expr("-a * (l - b) * (l - b)"))
     return band.crossJoin(F.broadcast(s)).select("row", "col", F.expr("a * (z - b) * (z - b) + c").alias("z"))
 
 
