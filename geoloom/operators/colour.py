@@ -101,11 +101,15 @@ def gaussian_contrast_stretch(raster: Raster, tones: int = 256, bins: int = 2048
 
 
 def write_function_memory_insertion(dates: Sequence[Raster]) -> Raster:
-    """Two or three dates of a band as red, green and blue, each stretched to 0..255; of two dates the second is green and blue."""
+    """Two or three dates of a band as red, green and blue, each stretched to 0..255; of two dates the second is green and blue.
+
+    A date that does not vary is 0 throughout.
+    """
 
     def tone(r: Raster) -> Raster:
         s = r.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-        return r.crossJoin(F.broadcast(s)).select("row", "col", F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).cast("double").alias("z"))
+        part = F.when(F.col("hi") > F.col("lo"), (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("z") * 0)
+        return r.crossJoin(F.broadcast(s)).select("row", "col", F.floor(part * 255).cast("double").alias("z"))
 
     bands = [tone(r) for r in dates]
     return compose(bands[0], bands[1], bands[-1])

@@ -15,3 +15,11 @@ def test_balance_contrast_enhancement(spark):
     assert abs(ends[0, 0]) < 1e-9 and abs(ends[0, 2] - 255) < 1e-9
     composite = grid(spark, [[(255 << 24) + 7, (255 << 24) + (9 << 8) + 7]])  # red and blue do not vary
     assert {z - (255 << 24) for z in values(colour.balance_contrast_enhancement_composite(composite)).values()} <= {0.0, 255.0 * 256}
+
+
+def test_write_function_memory_insertion(spark):
+    """A date that does not vary has the tone 0, its NoData stays."""
+    one, flat = grid(spark, [[1, 2, 3, 4]]), grid(spark, [[7, 7, None, 7]])
+    opaque = 255 << 24
+    assert values(colour.write_function_memory_insertion([one, flat])) == {(0, 0): opaque, (0, 1): opaque + 85, (0, 2): None, (0, 3): opaque + 255}
+    assert values(colour.write_function_memory_insertion([flat, one])) == {(0, 0): opaque, (0, 1): opaque + 85 * 65792, (0, 2): None, (0, 3): opaque + 255 * 65792}
