@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.cells import quotient
 from geoloom.operators.local import pair
 from geoloom.plans.ranking import running
 
@@ -177,12 +178,13 @@ def wilcoxon(a: Raster, b: Raster) -> DataFrame:
 
 
 def anova(raster: Raster, classes: Raster) -> DataFrame:
-    """Between- and within-class sums of squares, degrees of freedom and F."""
+    """Between- and within-class sums of squares, degrees of freedom and F; infinite or NaN without variation within classes or without degrees of freedom."""
     p = pair(raster, classes).filter("a IS NOT NULL AND b IS NOT NULL")
     g = p.groupBy(F.round("b").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"))
     t = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     ssb, ssw = F.col("between") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("between")
-    return t.select(ssb.alias("ssb"), ssw.alias("ssw"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"), (ssb / (F.col("k") - 1) / (ssw / (F.col("n") - F.col("k")))).alias("f"))
+    df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
+    return t.select(ssb.alias("ssb"), ssw.alias("ssw"), df1.alias("df1"), df2.alias("df2"), quotient(quotient(ssb, df1), quotient(ssw, df2)).alias("f"))
 
 
 def two_sample_ks(a: Raster, b: Raster) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import math
 
-from geoloom.operators import colour
+from geoloom.operators import colour, stats
 from tests.geo.test_operators import grid, values
 
 
@@ -23,3 +23,15 @@ def test_write_function_memory_insertion(spark):
     opaque = 255 << 24
     assert values(colour.write_function_memory_insertion([one, flat])) == {(0, 0): opaque, (0, 1): opaque + 85, (0, 2): None, (0, 3): opaque + 255}
     assert values(colour.write_function_memory_insertion([flat, one])) == {(0, 0): opaque, (0, 1): opaque + 85 * 65792, (0, 2): None, (0, 3): opaque + 255 * 65792}
+
+
+def test_anova(spark):
+    classes = grid(spark, [[1, 1, 2, 2]])
+    f = lambda rows, c=classes: stats.anova(grid(spark, rows), c).first()
+    flat = f([[3, 3, 3, 3]])
+    assert (flat.ssb, flat.ssw, flat.df1, flat.df2) == (0, 0, 1, 2) and math.isnan(flat.f)
+    assert f([[3, 3, 4, 4]]).f == math.inf  # all variation is between the classes
+    assert math.isnan(f([[1, 2, 3, 4]], grid(spark, [[5, 5, 5, 5]])).f)  # one class
+    assert math.isnan(f([[1, 2, None, None]], grid(spark, [[5, 6, 7, 8]])).f)  # one cell in each class
+    assert f([[1, 2, 3, 4]]).f == 8
+    assert f([[None] * 4]).f is None
