@@ -218,7 +218,7 @@ def crispness_index(raster: Raster) -> DataFrame:
 
 
 def morans_i(raster: Raster, contiguity: str = "rook") -> DataFrame:
-    """n, mean, i (Moran's I) and expected of a raster with rook, bishop or king contiguity."""
+    """n, mean, i (Moran's I) and expected of a raster with rook, bishop or king contiguity; i is NaN if nothing varies or no cell has a neighbour."""
     from geoloom.plans.stencil import neighbourhood
 
     steps = {"rook": (1, 3, 5, 7), "bishop": (0, 2, 6, 8), "king": (0, 1, 2, 3, 5, 6, 7, 8)}[contiguity]
@@ -228,7 +228,8 @@ def morans_i(raster: Raster, contiguity: str = "rook") -> DataFrame:
     dev = F.col("z") - F.col("m")
     cross = F.aggregate(near, F.lit(0.0), lambda a, v: a + (v - F.col("m")))
     t = n.agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("mean"), F.sum(F.size(near)).alias("w"), F.sum(dev * cross).alias("x"), F.sum(dev * dev).alias("v"))
-    return t.select("n", "mean", (F.col("n") / F.col("w") * F.col("x") / F.col("v")).alias("i"), (-1.0 / (F.col("n") - 1)).alias("expected"))
+    i = quotient(quotient(F.col("n"), F.col("w")) * F.col("x"), F.col("v"))
+    return t.select("n", "mean", i.alias("i"), quotient(F.lit(-1.0), F.col("n") - 1).alias("expected"))
 
 
 def trend_surface(raster: Raster, order: int = 1) -> Raster:

@@ -35,3 +35,13 @@ def test_anova(spark):
     assert math.isnan(f([[1, 2, None, None]], grid(spark, [[5, 6, 7, 8]])).f)  # one cell in each class
     assert f([[1, 2, 3, 4]]).f == 8
     assert f([[None] * 4]).f is None
+
+
+def test_morans_i(spark):
+    flat = stats.morans_i(grid(spark, [[2, 2, None], [2, 2, 2]]), "king").first()
+    assert (flat.n, flat.mean, flat.expected) == (5, 2, -0.25) and math.isnan(flat.i)
+    apart = stats.morans_i(grid(spark, [[1, None, 3]])).first()  # no neighbours
+    assert (apart.n, apart.expected) == (2, -1) and math.isnan(apart.i)
+    alone = stats.morans_i(grid(spark, [[1]])).first()
+    assert (alone.n, alone.expected) == (1, -math.inf) and math.isnan(alone.i)
+    assert stats.morans_i(grid(spark, [[1, 2]])).first().i == -1
