@@ -146,13 +146,18 @@ def root_mean_square_error(raster: Raster, base: Raster) -> DataFrame:
     return n.crossJoin(le).select("n", "mean", "rmse", (F.col("rmse") * 1.96).alias("at95"), "le90")
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson's r of columns that are NULL together; Spark's own makes an error of columns that do not vary, here r is NaN."""
+    return quotient(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def image_correlation(rasters: Sequence[Raster]) -> DataFrame:
-    """i, j, r: Pearson's r of each pair of rasters over their jointly valid cells."""
+    """i, j, r: Pearson's r of each pair of rasters over their jointly valid cells; NaN if one of them does not vary there."""
     named = [r.select("row", "col", F.col("z").alias(f"z{i}")) for i, r in enumerate(rasters)]
     j = reduce(lambda a, b: a.join(b, ["row", "col"]), named)
     pairs = [(a, b) for a in range(len(rasters)) for b in range(a)]
     both = lambda a, b: F.when(F.col(f"z{a}").isNotNull() & F.col(f"z{b}").isNotNull(), F.col(f"z{a}"))
-    row = j.agg(*[F.corr(both(a, b), both(b, a)).alias(f"r{a}_{b}") for a, b in pairs])
+    row = j.agg(*[_corr(both(a, b), both(b, a)).alias(f"r{a}_{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"r{a}_{b}").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
 
 

@@ -45,3 +45,10 @@ def test_morans_i(spark):
     alone = stats.morans_i(grid(spark, [[1]])).first()
     assert (alone.n, alone.expected) == (1, -math.inf) and math.isnan(alone.i)
     assert stats.morans_i(grid(spark, [[1, 2]])).first().i == -1
+
+
+def test_image_correlation(spark):
+    rasters = [grid(spark, rows) for rows in ([[1, 2, 3, 4]], [[5, 5, 5, 5]], [[2, 4, None, 8]], [[None, None, 1, None]])]
+    r = {(x.i, x.j): x.r for x in stats.image_correlation(rasters).collect()}
+    assert len(r) == 6 and abs(r[2, 0] - 1) < 1e-12 and r[3, 2] is None  # no cell is valid in both
+    assert all(math.isnan(r[k]) for k in ((1, 0), (2, 1), (3, 0), (3, 1)))
