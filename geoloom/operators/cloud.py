@@ -173,7 +173,7 @@ def hillshade(points: Points, radius: float, azimuth: float = 315.0, altitude: f
 def segmentation(points: Points, radius: float, norm_diff: float = 10.0, height_diff: float = 1.0) -> DataFrame:
     """x, y, z, segment: places connected over steps of at most ``radius`` with normals at most ``norm_diff`` degrees apart and at
     most ``height_diff`` off each other's planes; segments are numbered by their least place. Places without a plane are alone."""
-    from geoloom.plans.graph import components
+    from geoloom.plans.graph import apart, components
     from geoloom.plans.lineage import written
     from geoloom.plans.ranking import ranked
 
@@ -184,7 +184,7 @@ def segmentation(points: Points, radius: float, norm_diff: float = 10.0, height_
     near = j.filter((dot >= cos(radians(norm_diff))) & (off("") <= height_diff) & (off("p_") <= height_diff))
     roots = components(n.select("id"), near.select(F.col("id").alias("a"), F.col("p_id").alias("b"))).withColumnRenamed("id", "_i")
     number = ranked(roots.select(F.col("root").alias("_r")).distinct(), [F.col("_r")], "segment")
-    return n.join(roots, F.col("id") == F.col("_i")).join(number, F.col("root") == F.col("_r")).select("x", "y", "z", "segment")
+    return n.join(apart(roots), F.col("id") == F.col("_i")).join(apart(number), F.col("root") == F.col("_r")).select("x", "y", "z", "segment")
 
 
 def attribute_correlation_neighbourhood(points: DataFrame, first: str, second: str, radius: float, least: int = 3, key: str = "fid") -> DataFrame:

@@ -69,6 +69,12 @@ def upstream(nodes: DataFrame, sums: list[str], maxima: dict[str, str] | None =
         )
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not broadcast: ids take a few bits a row in a file, so by the file's size
+    Spark would send millions of rows through the driver."""
+    return df.hint("merge")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, root for all ``nodes`` (id); root is the least id reachable over ``edges`` (a, b).
 
@@ -77,13 +83,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     state = written(nodes.select("id", F.col("id").alias("root")).distinct(), "roots")
     while True:
-        near = both.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
-        hooked = state.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
+        near = both.join(apart(state), F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
+        hooked = state.join(apart(near), F.col("id") == F.col("a"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         # a root that hooked elsewhere takes its members along
         better = hooked.groupBy("old").agg(F.min("root").alias("m")).withColumnRenamed("old", "_o")
-        hooked = hooked.join(better, F.col("old") == F.col("_o")).select("id", "old", F.col("m").alias("root"))
+        hooked = hooked.join(apart(better), F.col("old") == F.col("_o")).select("id", "old", F.col("m").alias("root"))
         jump = hooked.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
-        now = written(hooked.join(jump, F.col("root") == F.col("_i")).select("id", F.col("_r").alias("root"), (F.col("_r") != F.col("old")).alias("moved")), "roots")
+        now = written(hooked.join(apart(jump), F.col("root") == F.col("_i")).select("id", F.col("_r").alias("root"), (F.col("_r") != F.col("old")).alias("moved")), "roots")
         if not now.filter("moved").limit(1).count():
             return now.drop("moved")
         state = now.drop("moved")
