@@ -24,8 +24,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles the one with the smallest doc_id stays."""
-    return near.keep_first(docs)
+    """Of documents linked by SimHash fingerprints at most 4 bits apart, or by a similarity of 0.8 of
+    their five-word shingles, the one with the smallest doc_id stays."""
+    return near.keep_first(docs, radius=4)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, MinHash candidates verified on the shingles.
+"""Near-duplicates by SimHash, and by the Jaccard similarity of word shingles, MinHash candidates verified on the shingles.
 
-Texts are near copies if their sets of five-word shingles have a similarity of
+With a radius, texts whose SimHash fingerprints differ in at most so many bits are near copies,
+found by :func:`simhash.link`; these links come first, and shingles are compared
+between what they have not connected.
+
+Texts are near copies as well if their sets of five-word shingles have a similarity of
 at least 0.8. Candidates share one of BANDS keys of ROWS minima each: a pair at
 0.8 shares none with probability (1 - 0.8**ROWS)**BANDS, 3 in a million.
 A sketch of 64 bits and the sizes discard most of the others; the rest
@@ -67,12 +71,12 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_key, node (digest of the shingle set), n (its size), sketch, bands for every row."""
+def sketches(docs: DataFrame, doc_id: str, text: str, fingerprints: bool = False) -> DataFrame:
+    """doc_id, text_key, node (digest of the shingle set), n (its size), sketch, bands, fp (the SimHash fingerprint, if wanted) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, bits, bands = [], [], [], []
+            nodes, sizes, bits, bands, fps = [], [], [], [], []
             for t in b.column("t").to_pylist():
                 s = shingles(t)
                 m = minima(s)
@@ -81,15 +85,29 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 bits.append(np.packbits((m[:64] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0])
                 raw = m.tobytes()
                 bands.append([xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i) for i in range(BANDS)])
+                fps.append(simhash.fingerprint(t) if fingerprints else 0)
             flat = pa.array(np.array(bands, np.uint64).reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(bits, np.int64)), lists],
-                ["doc_id", "text_key", "node", "n", "sketch", "bands"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(bits, np.int64)), lists, pa.array(np.array(fps, np.uint64).view(np.int64))],
+                ["doc_id", "text_key", "node", "n", "sketch", "bands", "fp"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, sketch long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, sketch long, bands array<long>, fp long")
+
+
+def similar(rows: DataFrame, radius: int) -> DataFrame:
+    """Links u, v between nodes of ``rows`` (node, fp) that connect all whose fingerprints differ in at most ``radius`` bits.
+
+    A fingerprint stands for the least node that has it; its other nodes are linked to that one.
+    """
+    named = table(rows.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "fingerprints")
+    several = table(named.filter("first <> last").select(F.col("fp").alias("f"), "first"), "several")
+    same = rows.select("fp", "node").distinct().join(several, F.col("fp") == F.col("f")).filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    at = lambda x: named.select(F.col("fp").alias(f"f{x}"), F.col("first").alias(f"n{x}"))
+    between = table(simhash.link(named.select("fp"), radius), "links").join(at("u"), F.col("u") == F.col("fu")).join(at("v"), F.col("v") == F.col("fv")).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    return same.union(between.filter("u <> v")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,9 +222,12 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return table(comps.join(roots, F.col("comp") == F.col("of"), "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
 
 
-def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, fingerprint (16 hex digits of the shingle set), component_id for every row, as :func:`simhash.group`."""
-    rows = table(sketches(docs, doc_id, text), "sketches")
+def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
+    """doc_id, text_key, fingerprint (16 hex digits of the shingle set), component_id for every row, as :func:`simhash.group`.
+
+    Links are a similarity of the shingles and, with a ``radius``, SimHash fingerprints at most so many bits apart.
+    """
+    rows = table(sketches(docs, doc_id, text, radius is not None), "sketches")
     # rows of one node are one set; a key that only one node has links nothing, and map-side sums find the others
     keyed = rows.select("node", "n", "sketch", F.explode("bands").alias("key")).distinct()
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("node", "n", "sketch")).alias("rep")).filter("low <> high").select(F.col("key").alias("k"), "rep")
@@ -221,7 +242,13 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     close = lambda rep: (F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{rep}.sketch"))) <= APART) & (F.least("n", f"{rep}.n") >= SIMILARITY * F.greatest("n", f"{rep}.n"))
     pair = lambda rep: (F.least("node", f"{rep}.node").alias("u"), F.greatest("node", f"{rep}.node").alias("v"))
     tried = table(shared.filter((F.col("node") != F.col("rep.node")) & close("rep")).select(*pair("rep")).distinct(), "tried")
-    comps = table(shared.select("node").distinct().withColumn("comp", F.col("node")), "components")
+    linked = shared.select("node")
+    if radius is not None:
+        near = table(similar(rows, radius), "similar")
+        linked = linked.union(near.select("u")).union(near.select("v"))
+    comps = table(linked.distinct().withColumn("comp", F.col("node")), "components")
+    if radius is not None:
+        comps = merged(comps, near)
     comps = merged(comps, table(verified(tried, texts), "links"))
     for turn in range(TURNS):
         here = mixed(shared, comps, turn).filter((F.col("comp") != F.col("pivot.comp")) & close("pivot"))
@@ -238,6 +265,6 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return rows.select("doc_id", "text_key", "node").join(label, "node").select("doc_id", "text_key", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
     """One document of each component, as :func:`simhash.keep_first` chooses it."""
-    return simhash.first_of(docs, group(docs, doc_id, text), doc_id, text)
+    return simhash.first_of(docs, group(docs, doc_id, text, radius), doc_id, text)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from geoloom.llm import near
+from geoloom.llm import near, simhash
 from tests.llm.cases import SCHEMA, documents, sentence
 from tests.llm.test_operators import plain_components
 
@@ -43,3 +43,40 @@ def test_pipeline_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id IN (1, 6, 7, 145, 177)")
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 6, 7]
+
+
+def test_pipeline_stage_uses_simhash(spark):
+    """The stage drops a copy whose SimHash fingerprint differs in 2 bits and whose shingles have a similarity of 0.79 (documents 452 and 794)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id IN (1, 6, 452, 794)")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 6, 452]
+
+
+def test_simhash_and_shingles(spark):
+    """Components over both kinds of links, also where one joins what the other left apart."""
+    r = random.Random(5)
+    rows = documents()
+    for i in range(30):  # near copies in chains, as far apart as fingerprints or shingles just link
+        w = sentence(r, 300).split()
+        for j in range(4):
+            rows.append((3000 + 4 * i + j, " ".join(w), *[None] * 8))
+            for k in range(1 + (i + j) % 6):
+                w[40 * k + 9 * j] = f"z{i}y{j}"
+    for i in range(10):  # a repeated passage decides the fingerprint, the words of its own the set of shingles
+        passage = sentence(r, 21)
+        rows += [(4000 + 2 * i + j, f"{passage} " * 20 + sentence(r, 40), *[None] * 8) for j in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets, fps = [plain(x[1]) for x in rows], [simhash.fingerprint(x[1]) for x in rows]
+    bits = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4
+    shingled = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    found = []
+    for links in (bits, shingled, lambda a, b: bits(a, b) or shingled(a, b)):
+        roots = plain_components(list(range(len(rows))), links)
+        least = {}
+        for x, root in zip(rows, roots, strict=True):
+            least[root] = min((i for i in (least.get(root), x[0]) if i is not None), default=None)
+        found.append(sorted(((x[0], least[root]) for x, root in zip(rows, roots, strict=True)), key=repr))
+    assert found[2] not in found[:2]
+    got = near.group(docs, radius=4).collect()
+    assert sorted(((g.doc_id, g.component_id) for g in got), key=repr) == found[2]
+    assert near.group(docs.limit(0), radius=4).count() == 0
