@@ -150,12 +150,12 @@ class _Members:
         self.comp = np.array([r["comp"] for r in rows], np.int64)
         self.sketch = np.array([r["sketch"] for r in rows], np.int64)
         self.bands = np.array([r["bands"] for r in rows], np.int64)
-        self.sets = [np.asarray(r["s"], np.int64).view(np.uint64) for r in rows]
+        self.sets = [r["s"].view(np.uint64) for r in rows]
         self.n = np.array([len(s) for s in self.sets])
 
     def near(self, q: dict) -> np.ndarray:
-        s = np.asarray(q["s"], np.int64).view(np.uint64)
-        n, bands = len(s), np.asarray(q["bands"], np.int64)
+        s, bands = q["s"].view(np.uint64), q["bands"]
+        n = len(s)
         band = int(np.flatnonzero(bands == q["key"])[0])
         # a pair is compared once: in the first key it shares, and of two outside the largest component by the larger node
         ok = (self.comp != q["comp"]) & ((self.comp == q["big"]) | (self.node < q["node"]))
@@ -172,6 +172,16 @@ class _Members:
         return at[both >= SIMILARITY * (n + self.n[at] - both)]
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one; lists stay numpy arrays, as a Python number takes several times its eight bytes."""
+    lists = [c for c in b.schema.names if pa.types.is_list(b.schema.field(c).type)]
+    plain = b.drop_columns(lists).to_pylist()
+    flat = {c: (b.column(c).values.to_numpy(), b.column(c).offsets.to_numpy()) for c in lists}
+    for i, r in enumerate(plain):
+        # copies, as a view would keep its whole batch
+        yield r | {c: v[at[i] : at[i + 1]].copy() for c, (v, at) in flat.items()}
+
+
 def across(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links u, v of the same key between different components, of all pairs that have not been connected.
 
@@ -183,7 +193,7 @@ def across(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
         group, rows, members = None, [], None
         for b in batches:
             u, v = [], []
-            for r in b.to_pylist():
+            for r in _rows(b):
                 if (r["key"], r["block"]) != group:
                     group, rows, members = (r["key"], r["block"]), [], None
                 if r["role"] == 0:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from geoloom.llm import near, simhash
 from tests.llm.cases import SCHEMA, documents, sentence
@@ -80,3 +83,11 @@ def test_simhash_and_shingles(spark):
     got = near.group(docs, radius=4).collect()
     assert sorted(((g.doc_id, g.component_id) for g in got), key=repr) == found[2]
     assert near.group(docs.limit(0), radius=4).count() == 0
+
+
+def test_rows_keep_lists_as_arrays():
+    batch = pa.RecordBatch.from_pydict({"key": [1, 2, 3], "s": pa.array([[5, 6], [], [2**62]], pa.list_(pa.int64()))})
+    for b, want in ((batch, [(1, [5, 6]), (2, []), (3, [2**62])]), (batch.slice(1), [(2, []), (3, [2**62])]), (batch.slice(0, 0), [])):
+        rows = list(near._rows(b))
+        assert [(r["key"], r["s"].tolist()) for r in rows] == want
+        assert all(r["s"].dtype == np.int64 and r["s"].base is None for r in rows)
