@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import table
 
-#: Ids of a block (more if one document has more) and of a file, bytes of text worked on at once; words remembered by a worker.
-BLOCK, FILE, SLICE, MEMO = 1 << 20, 1 << 26, 1 << 24, 500_000
+#: Ids of a block (more if one document has more) and of a file, bytes of text worked on at once; words remembered by a worker and given to the library as one text.
+BLOCK, FILE, SLICE, MEMO, WORDS = 1 << 20, 1 << 26, 1 << 24, 500_000, 100
 END = 0
 
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: Marks that may follow a word's letters; the tokenizer parts the two.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters after which marks are parted, in words as :meth:`Pieces.fast` marks them: of alphabets on which all versions of Unicode agree.
+_LETTERS = "\\A[\\x02\\n]?[A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ώЀ-ҁҊ-ԣ]+\\z"
 #: Texts with other white space than single spaces and line ends, or with the characters that mark words here.
 _UNEVEN = "[\\x02\\x03\\x1c-\\x1f\\t\\r\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
 #: Separators that Python counts as white space and the tokenizer doesn't.
@@ -69,12 +71,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, … (n[0] of them), then those from starts[1], and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Pieces:
     """Encodes with the tokenizers library, remembering the ids of pieces.
 
     A text is parted where no token can reach across: before a space that begins a
     run of other characters, and around white space. A word new to the worker is parted further,
-    into letters and marks after them, and the library encodes each part once.
+    into letters and marks after them. The library encodes each part once, many
+    of them in one text where the white space between shows which ids are whose.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,11 +98,22 @@ class Pieces:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.end = np.array([END], self.kind).tobytes()
-        self.words: dict[str, bytes] = {}  # as :meth:`fast` marks them
+        #: By space or line end: whether a token begins with it (a byte-level vocabulary writes the two as these letters).
+        self.begins: dict[str, np.ndarray] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        for before, letter in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.begins[before] = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[before][[i for token, i in vocabulary.items() if token.startswith(letter)]] = True
+        #: Heads of words as :meth:`fast` marks them, and the ids of each: where they start in ``pool``, and their number.
+        self.known, self.starts, self.lengths, self.pool = self._laid(pa.array(["\x02", "\x03", "", "\n"]), [b"", self.end, *self.whole([" ", "\n"])])
         self.pieces: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}  # letters, and what isn't parted
         self.marks: dict[str, bytes] = {"": b""}
 
+    def _laid(self, words: pa.Array, values: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        return words, np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(values), self.kind)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 10_000):
@@ -102,52 +122,109 @@ class Pieces:
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces, parted into letters and marks after them."""
-        heads, marks = self.heads, self.marks
+        heads = self.heads
         if len(heads) > 2 * MEMO:
             heads.clear()
-        if len(marks) > MEMO:
-            marks.clear()
-            marks[""] = b""
         parted = [h if (h := p.rstrip(_MARKS)).strip(" ").isalpha() else p for p in pieces]
         fresh = list(set(parted).difference(heads))
         heads.update(zip(fresh, self.whole(fresh), strict=True))
         rest = [p[len(h) :] for p, h in zip(pieces, parted, strict=True)]
+        return [heads[h] + r for h, r in zip(parted, self.after(rest), strict=True)]
+
+    def after(self, rest: list[str]) -> list[bytes]:
+        """The ids of marks that follow letters."""
+        marks = self.marks
+        if len(marks) > MEMO:
+            marks.clear()
+            marks[""] = b""
         fresh = list(set(rest).difference(marks))
         marks.update(zip(fresh, self.whole(fresh), strict=True))
-        return [heads[h] + marks[r] for h, r in zip(parted, rest, strict=True)]
-
-    def values(self, words: list[str]) -> list[bytes]:
-        """The ids of words that come after a space, or are marked: after a line end, at the start or the end of a text."""
-        memo = self.words
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        first = ("\n", "\x02")
-        ids = self.learn([w[1:] if w[:1] in first else " " + w for w in new])
-        line = self.whole(["\n"])[0]
-        memo.update((w, line + x if w[:1] == "\n" else x) for w, x in zip(new, ids, strict=True))
-        memo["\x03"] = self.end
-        return list(map(memo.__getitem__, words))
+        return list(map(marks.__getitem__, rest))
+
+    def apart(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space that come after a space or line end, with that, and their numbers.
+
+        The library gets texts of WORDS words; a word begins at each token that begins with ``before``.
+        """
+        ids, lengths = [], []
+        for i in range(0, len(words), 100 * WORDS):
+            some = words[i : i + 100 * WORDS]
+            cuts = pa.array([*range(0, len(some), WORDS), len(some)], pa.int32())
+            got = np.frombuffer(b"".join(self.whole([before + t for t in pc.binary_join(pa.ListArray.from_arrays(cuts, some), before).to_pylist()])), self.kind)
+            n = np.diff(np.append(np.flatnonzero(self.begins[before][got]), len(got)))
+            if len(n) != len(some):  # another kind of vocabulary
+                _, _, n, got = self._laid(some, self.whole([before + w for w in some.to_pylist()]))
+            ids.append(got)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def remember(self, heads: pa.Array) -> np.ndarray:
+        """The places of distinct heads in ``known``, after those not there have been encoded."""
+        places = pc.fill_null(pc.index_in(heads, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        lined = pc.match_substring_regex(heads.take(pa.array(new)), "\\A[\\x02\\n]").to_numpy(zero_copy_only=False)
+        for before, at in ((" ", new[~lined]), ("\n", new[lined])):
+            if not len(at):
+                continue
+            words = heads.take(pa.array(at))
+            ids, n = self.apart(words if before == " " else pc.utf8_slice_codeunits(words, 1), before)
+            starts = len(self.pool) + np.cumsum(n) - n
+            if before == "\n":
+                less = pc.starts_with(words, "\x02").to_numpy(zero_copy_only=False) * self.lengths[3]  # the text begins without a line end
+                starts, n = starts + less, n - less
+            places[at] = len(self.known) + np.arange(len(at))
+            self.known = pa.concat_arrays([self.known, words])
+            self.starts, self.lengths, self.pool = (np.concatenate(x) for x in ((self.starts, starts), (self.lengths, n), (self.pool, ids)))
+        return places
+
+    def forget(self, keep: np.ndarray) -> None:
+        """Only these places of ``known``, and the first four, stay."""
+        keep = np.union1d(np.arange(4), keep)
+        n = self.lengths[keep]
+        self.known, self.pool = self.known.take(pa.array(keep)), self.pool[_ranges(self.starts[keep], n)]
+        self.starts, self.lengths = np.cumsum(n) - n, n
+
+    def values(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words that come after a space, or are marked: after a line end, at the start or the end of a text; and their numbers."""
+        heads = pc.utf8_rtrim(words, characters=_MARKS)
+        heads = pc.if_else(pc.match_substring_regex(heads, _LETTERS), heads, words)
+        # what follows each head: bytes of the words from where the heads end
+        size = pc.binary_length(heads).to_numpy()
+        more = pc.binary_length(words).to_numpy() - size
+        some = np.flatnonzero(more)
+        rest = words.take(pa.array(some)).cast(pa.binary())
+        at = np.frombuffer(rest.buffers()[1], np.int32)[: len(some)] + size[some]
+        cuts = np.concatenate([[0], np.cumsum(more[some])]).astype(np.int32)
+        raw = np.frombuffer(rest.buffers()[2] or b"", np.uint8)[_ranges(at, more[some])]
+        marks = pa.StringArray.from_buffers(len(some), pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        _, mark_starts, mark_lengths, mark_pool = self._laid(marks.dictionary, self.after(marks.dictionary.to_pylist()))
+        coded = heads.dictionary_encode()
+        places = self.remember(coded.dictionary)
+        head = places[coded.indices.to_numpy()]
+        starts, n = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        starts[:, 0], n[:, 0] = self.starts[head], self.lengths[head]
+        mark = marks.indices.to_numpy()
+        starts[some, 1], n[some, 1] = mark_starts[mark] + len(self.pool), mark_lengths[mark]
+        pool = np.concatenate([self.pool, mark_pool])[_ranges(starts.ravel(), n.ravel())]
+        if len(self.known) > 2 * MEMO:
+            self.forget(places)
+        return pool, n.sum(axis=1)
 
     def fast(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """All ids of texts with single spaces and line ends, in parts, and where each text ends.
 
-        Arrow parts the texts and numbers the distinct words; Python sees each of those once.
+        Arrow parts the texts and numbers the distinct words; only parts of words that are new become Python strings.
         """
         marked = pc.binary_join_element_wise("\x02", pc.replace_substring(texts, "\n", " \n"), " \x03", "")
         parted = pc.split_pattern(marked, " ")
         coded = parted.flatten().dictionary_encode()
-        values = self.values(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        pool, lengths = self.values(coded.dictionary)
         starts = np.cumsum(lengths) - lengths
-        pool = np.frombuffer(b"".join(values), self.kind)
         at = coded.indices.to_numpy()
         out = []
         for i in range(0, len(at), 1 << 18):
             a = at[i : i + (1 << 18)]
-            n = lengths[a]
-            ends = np.cumsum(n)
-            out.append(pool[np.repeat(starts[a] - (ends - n), n) + np.arange(ends[-1])])
+            out.append(pool[_ranges(starts[a], lengths[a])])
         ends = np.cumsum(lengths[at])
         return out, ends[parted.offsets.to_numpy()[1:] - 1]
 

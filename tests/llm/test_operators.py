@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -484,3 +485,43 @@ def test_packing():
     for n in (0, 1, 3, 4, 5, 1000):
         x = (r.integers(0, 2**32, n) >> r.integers(0, 32, n)).astype(np.uint32)
         assert (token_files.unpack(*token_files.pack(x), n) == x).all()
+
+
+WORDS_AND_MARKS = ["", " ", "\n", "one", " one", "one ", "\none", "one\n", "a b\nc!! d\n", "!!", "\n!!", "it's we'll 12a,b3 (x).", "é,ß;Ж! ʰ: ×, ÷. 日本。 a\u0301! \u200b,", "x" * 300 + "! " + "ab" * 500]
+
+
+def encoded(pieces, texts):
+    got = [None] * len(texts)
+    for rows, ids in pieces.encode(pa.array(texts, pa.string())):
+        for i, x in zip(rows.to_pylist(), ids.to_pylist(), strict=True):
+            got[i] = np.frombuffer(x, pieces.kind).tolist()
+    return got
+
+
+def test_token_files_new_words_share_texts(monkeypatch):
+    """New words reach the library many to a text, not one by one."""
+    e = token_files.Pieces(token_files.default_path())
+    given, whole = [], e.whole
+    monkeypatch.setattr(e, "whole", lambda texts: given.extend(texts) or whole(texts))
+    letters = "".join(chr(97 + i) for i in range(26))
+    new = [a + b + c for a in letters for b in letters for c in "aeiou"]
+    texts = [" ".join(new), "\n".join(x + "," for x in new)]
+    got = encoded(e, texts)
+    assert len(given) < len(new) / 20
+    assert got == [x.ids + [0] for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("memo", [0, 500_000])
+@pytest.mark.parametrize("marked", [True, False])
+def test_token_files_parts(monkeypatch, memo, marked):
+    """Ids go to the right words, whatever is forgotten between, and if no token shows where a word begins."""
+    monkeypatch.setattr(token_files, "MEMO", memo)
+    monkeypatch.setattr(token_files, "WORDS", 3)
+    e = token_files.Pieces(token_files.default_path())
+    if not marked:
+        for begins in e.begins.values():
+            begins[:] = False
+    want = [x.ids + [0] for x in e.library.encode_batch(WORDS_AND_MARKS, add_special_tokens=False)]
+    for n in (len(want), 3, 1):
+        for i in range(0, len(want), n):
+            assert encoded(e, WORDS_AND_MARKS[i : i + n]) == want[i : i + n]
