@@ -228,6 +228,11 @@ class Encoder:
             self.memo[w] = self.entry(ids)
         return [[self.memo[w] for w in ws] for ws in parted]
 
+    def forget(self) -> None:
+        """Gives back the memory of remembered words and of batches: a worker outlives its task, and other tasks need it."""
+        self.memo = {}
+        pa.default_memory_pool().release_unused()
+
     def entry(self, ids: np.ndarray) -> tuple[str, str, bytes]:
         plain = ids.tolist()
         return " ".join(map(str, plain)), self.decode(plain), ids.astype("<i4").tobytes()
@@ -282,6 +287,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4").astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(shas), pa.array(decoded)], [*names, "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long{', ids array<int>' if ids else ''}, ids_sha256 string, decoded_sha256 string"

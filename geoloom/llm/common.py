@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Runs of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes after which a batch of rows goes to a Python worker. Spark's 64 MB are held several times, by the worker and outside the heap.
+BATCH_BYTES = 1 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,11 +86,10 @@ def discard(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Has Spark remove the shuffle files of each query that ends within, as its result is written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Has a session's setting at ``value`` for what runs within."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -98,6 +99,16 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Has Spark remove the shuffle files of each query that ends within, as its result is written."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Has Spark send BATCH_BYTES at a time to Python workers, in what is written within."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def uniform(key: Column, salt: str, n: int) -> list[Column]:
     """``n`` independent whole numbers below 2**32 drawn from ``key``.
 

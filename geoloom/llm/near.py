@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import simhash
-from geoloom.llm.common import table
+from geoloom.llm.common import small_batches, table
 from geoloom.llm.graph import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -237,6 +237,11 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
 
     Links are a similarity of the shingles and, with a ``radius``, SimHash fingerprints at most so many bits apart.
     """
+    with small_batches(docs.sparkSession):
+        return _group(docs, doc_id, text, radius)
+
+
+def _group(docs: DataFrame, doc_id: str, text: str, radius: int | None) -> DataFrame:
     rows = table(sketches(docs, doc_id, text, radius is not None), "sketches")
     # rows of one node are one set; a key that only one node has links nothing, and map-side sums find the others
     keyed = rows.select("node", "n", "sketch", F.explode("bands").alias("key")).distinct()
